@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from driftsieve.llm.formats import copy_counts, format_copies
+from driftsieve.llm.near import near_groups
+from driftsieve.llm.seen import error_rates, seen_before
 from driftsieve.llm.visual import same_looking_pairs
 
 
@@ -10,8 +14,24 @@ def _t(spark, d, name):
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _expected(spark, d) -> int:
+    """The keys that the manifest lists: one number of a small, fixed table."""
+    return int(_t(spark, d, "shards").agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0])
+
+
+def _p2_found(spark, d):
+    return seen_before(_t(spark, d, "row_band_keys"), _t(spark, d, "index_keys"), _expected(spark, d))
+
+
+def _p2_error_rates(spark, d):
+    return error_rates(_t(spark, d, "row_band_keys"), _t(spark, d, "index_keys"), _expected(spark, d), bits=24)
+
+
 def queries() -> dict:
     return {
+        "p2_found": _p2_found,
+        "p2_error_rates": _p2_error_rates,
+        "p3_found": lambda s, d: near_groups(_t(s, d, "input_parquet")),
         "p4_found": lambda s, d: format_copies(_t(s, d, "input_parquet")),
         "p4_copy_counts": lambda s, d: copy_counts(_t(s, d, "input_parquet")),
         "p5_found": lambda s, d: same_looking_pairs(_t(s, d, "input_parquet")),
@@ -19,4 +39,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p2_found": """
+            WITH k AS (SELECT sig_id, unnest(band_keys) AS key, CAST(generate_subscripts(band_keys, 1) - 1 AS INTEGER) AS band FROM row_band_keys),
+                 m AS (SELECT sig_id, band, key, min(sig_id) OVER (PARTITION BY band, key) AS earliest FROM k)
+            SELECT sig_id, band FROM m
+            WHERE sig_id > earliest OR EXISTS (SELECT 1 FROM index_keys i WHERE i.band = m.band AND i.band_key = m.key)""",
+    }
