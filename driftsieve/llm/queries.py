@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from driftsieve.llm.formats import copy_counts, format_copies
+from driftsieve.llm.history import duplicates_of_history
 from driftsieve.llm.near import near_groups
 from driftsieve.llm.seen import error_rates, seen_before
 from driftsieve.llm.visual import same_looking_pairs
@@ -29,6 +30,7 @@ def _p2_error_rates(spark, d):
 
 def queries() -> dict:
     return {
+        "p1_found": lambda s, d: duplicates_of_history(_t(s, d, "input_parquet"), _t(s, d, "ledger")),
         "p2_found": _p2_found,
         "p2_error_rates": _p2_error_rates,
         "p3_found": lambda s, d: near_groups(_t(s, d, "input_parquet")),
