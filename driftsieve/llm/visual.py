@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from driftsieve.llm.arrow import chunks, hash128, named
 from driftsieve.llm.textforms import canonical_batch, plain_batch
+from driftsieve.storage import Workspace
 
 LEAST_LETTERS = 20
 
@@ -57,7 +58,7 @@ def same_looking_pairs(df: DataFrame, id_col: str = "id", text_col: str = "text"
     twice counts once. An empty table gives an empty result. Groups meet as classes of equal texts, so copies of one
     text never pair up among themselves; the joins' rows grow as the result does.
     """
-    rows = _forms(df, id_col, text_col, least_letters)
+    rows = Workspace(df.sparkSession, "visual").keep(_forms(df, id_col, text_col, least_letters), "forms")
     plain, text = ["p1", "p2"], ["t1", "t2"]
     # Groups with several texts; the aggregate combines before the shuffle, so a hot text costs nothing.
     mixed = rows.groupBy(*plain).agg(F.min(F.struct(*text)).alias("a"), F.max(F.struct(*text)).alias("b")).where("a <> b").select(*plain)
