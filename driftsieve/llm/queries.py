@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from driftsieve.llm.formats import copy_counts, format_copies
 from driftsieve.llm.history import duplicates_of_history
+from driftsieve.llm.leaks import leaked_items
+from driftsieve.llm.mixing import Mixture
 from driftsieve.llm.near import near_groups
 from driftsieve.llm.seen import error_rates, seen_before
 from driftsieve.llm.visual import same_looking_pairs
@@ -28,6 +30,14 @@ def _p2_error_rates(spark, d):
     return error_rates(_t(spark, d, "row_band_keys"), _t(spark, d, "index_keys"), _expected(spark, d), bits=24)
 
 
+def _p6_found(spark, d):
+    return leaked_items(_t(spark, d, "documents"), _t(spark, d, "benchmark")).select("doc_id", "item_id")
+
+
+def _mixture(spark, d) -> Mixture:
+    return Mixture(_t(spark, d, "documents"), _t(spark, d, "source_weights"))
+
+
 def queries() -> dict:
     return {
         "p1_found": lambda s, d: duplicates_of_history(_t(s, d, "input_parquet"), _t(s, d, "ledger")),
@@ -37,6 +47,10 @@ def queries() -> dict:
         "p4_found": lambda s, d: format_copies(_t(s, d, "input_parquet")),
         "p4_copy_counts": lambda s, d: copy_counts(_t(s, d, "input_parquet")),
         "p5_found": lambda s, d: same_looking_pairs(_t(s, d, "input_parquet")),
+        "p6_found": _p6_found,
+        "p7_found": lambda s, d: _mixture(s, d).short_sources(),
+        "p7_mix": lambda s, d: _mixture(s, d).mix(),
+        "p7_shares": lambda s, d: _mixture(s, d).shares(),
     }
 
 
