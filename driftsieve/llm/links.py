@@ -114,18 +114,20 @@ def _block_pairs(limit: int):
     return run
 
 
-def pairs_in_blocks(blocks: DataFrame, keys_of: DataFrame, work: Workspace, split_at: int = SPLIT_AT, depth: int = DEPTH) -> DataFrame:
-    """(a, b), a < b: members that share a key of `blocks` (key, member).
+def pairs_in_blocks(blocks: DataFrame, keys_of: DataFrame, work: Workspace, least: int = 1, split_at: int = SPLIT_AT, depth: int = DEPTH) -> DataFrame:
+    """(a, b), a < b: members that share at least `least` keys of `blocks` (key, member).
 
     A block of over `split_at` different members is split: its members meet again under each pair of its key and another
-    of their keys (`keys_of`: member, keys), up to `depth` shared keys. Only members that share that many keys and are
-    still too many are joined with their neighbours alone, which keeps groups whole, as such members are near copies.
+    of their keys (`keys_of`: member, keys), up to `depth` shared keys; such pairs need no more keys. Only members that
+    share that many keys and are still too many are joined with their neighbours alone, which keeps groups whole, as such
+    members are near copies.
     """
     n = partitions(blocks)
     found, level = [], 0
     while True:
         got = blocks.select("key", "member").repartition(n, "key").sortWithinPartitions("key", "member").mapInArrow(_block_pairs(split_at), "key long, a long, b long")
-        got = work.keep(got, f"pairs{level}")
+        got = got.groupBy("a", "b", F.when(F.col("b").isNull(), F.col("key")).alias("key")).agg(F.count("*").alias("shared"))
+        got = work.keep(got.where(F.col("b").isNull() | (F.col("shared") >= (1 if level else least))), f"pairs{level}")
         found.append(got.where("b is not null").select("a", "b"))
         hot = got.where("b is null").select("key", F.col("a").alias("member"))
         if hot.isEmpty():
@@ -136,7 +138,9 @@ def pairs_in_blocks(blocks: DataFrame, keys_of: DataFrame, work: Workspace, spli
             found.append(hot.withColumn("b", ahead).where("b is not null").select(F.col("member").alias("a"), "b"))
             break
         more = keys_of.withColumnRenamed("member", "m").select("m", F.explode("keys").alias("other"))
-        blocks = hot.join(more, hot.member == more.m).where("key <> other").select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other"), F.lit(level)).alias("key"), "member")
+        blocks = hot.join(more, hot["member"] == more["m"]).where("key <> other").select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other"), F.lit(level)).alias("key"), "member")
+    if len(found) == 1:
+        return found[0]
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
