@@ -10,6 +10,7 @@ from driftsieve.llm.leaks import leaked_items
 from driftsieve.llm.mixing import Mixture
 from driftsieve.llm.near import near_groups
 from driftsieve.llm.seen import error_rates, seen_before
+from driftsieve.llm.subjects import Subjects
 from driftsieve.llm.visual import same_looking_pairs
 
 
@@ -38,6 +39,10 @@ def _mixture(spark, d) -> Mixture:
     return Mixture(_t(spark, d, "documents"), _t(spark, d, "source_weights"))
 
 
+def _subjects(spark, d) -> Subjects:
+    return Subjects(_t(spark, d, "documents"), _t(spark, d, "subject_labels"), _t(spark, d, "subject_areas"))
+
+
 def queries() -> dict:
     return {
         "p1_found": lambda s, d: duplicates_of_history(_t(s, d, "input_parquet"), _t(s, d, "ledger")),
@@ -50,6 +55,7 @@ def queries() -> dict:
         "p6_found": _p6_found,
         "p7_found": lambda s, d: _mixture(s, d).short_sources(),
         "p7_mix": lambda s, d: _mixture(s, d).mix(),
+        "p8_found": lambda s, d: _subjects(s, d).assign().select("doc_id", "subject"),
         "p7_shares": lambda s, d: _mixture(s, d).shares(),
     }
 
