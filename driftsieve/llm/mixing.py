@@ -103,7 +103,7 @@ class Mixture:
         listed = named(weights, source="source", share="target_share", repeats="max_repeats").select(normal(F.col("source")), F.col("share").cast("double"), F.col("repeats").cast("long")).limit(MOST_SOURCES + 1).collect()
         if len(listed) > MOST_SOURCES:
             raise ValueError(f"more than {MOST_SOURCES} sources")
-        if any(None in r or r[1] < 0 or r[2] < 0 for r in listed) or len({r[0] for r in listed}) < len(listed):
+        if any(None in tuple(r) or r[1] < 0 or r[2] < 0 for r in listed) or len({r[0] for r in listed}) < len(listed):
             raise ValueError("each source needs one row with a share and a number of repeats, neither negative")
         self.work = Workspace(self.spark, "mixing")
         known = self.spark.createDataFrame([(r[0],) for r in listed], "source string")
@@ -191,7 +191,7 @@ def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray
         h, m, k = half[open_], mask[open_], key[open_]
         left, right = value[open_] >> h, value[open_] & m
         for r in range(4):
-            f = (right ^ (k * np.uint64(0x9E3779B97F4A7C15) + np.uint64(r + 1) * np.uint64(0xBF58476D1CE4E5B9))) * np.uint64(0x94D049BB133111EB)
+            f = (right ^ (k * np.uint64(0x9E3779B97F4A7C15) + np.uint64((r + 1) * 0xBF58476D1CE4E5B9 % (1 << 64)))) * np.uint64(0x94D049BB133111EB)
             f ^= f >> np.uint64(29)
             f *= np.uint64(0xD6E8FEB86659FD93)
             left, right = right, left ^ ((f >> np.uint64(32)) & m)
