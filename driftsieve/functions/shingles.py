@@ -47,16 +47,24 @@ def char_shingles(text: Column, size: int) -> Column:
 
 def word_shingles(text: Column, size: int) -> Column:
     """All runs of `size` words, joined by spaces; a shorter text is one shingle."""
-    words = F.split(text, " ", -1)
-    runs = F.transform(F.sequence(F.lit(1), F.size(words) - size + 1), lambda i: F.array_join(F.slice(words, i, size), " "))
-    return F.when(F.size(words) <= size, F.array(text)).otherwise(runs)
+    # The words are bound to a lambda's variable, else they would be split anew for each run.
+    runs = F.transform(
+        F.array(F.split(text, " ", -1)),
+        lambda w: F.when(F.size(w) <= size, F.array(F.array_join(w, " "))).otherwise(F.transform(F.sequence(F.lit(1), F.size(w) - size + 1), lambda i: F.array_join(F.slice(w, i, size), " "))),
+    )
+    return F.element_at(runs, 1)
 
 
-def shingles(c: Column, kind: str = "char", size: int = 20, exact: bool = False) -> Column:
-    """Shingles of a raw text column, never none."""
+def shingles_of_normal(text: Column, kind: str, size: int) -> Column:
+    """Shingles of a column that is normalized already."""
     if kind not in ("char", "word"):
         raise ValueError(f"unknown kind of n-gram: {kind}")
-    return (char_shingles if kind == "char" else word_shingles)(normalized(c, exact), size)
+    return (char_shingles if kind == "char" else word_shingles)(text, size)
+
+
+def shingles(c: Column, kind: str = "char", size: int = 20, exact: bool = False) -> Column:
+    """Shingles of a raw text column, never none."""
+    return shingles_of_normal(normalized(c, exact) if kind in ("char", "word") else c, kind, size)
 
 
 def sanitized(c: Column) -> Column:

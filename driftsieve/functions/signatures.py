@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftsieve.config import SieveConfig
-from driftsieve.functions.shingles import shingles
+from driftsieve.functions.shingles import normalized, shingles_of_normal
 
 #: A Mersenne prime; products of two numbers below it fit a signed 64-bit integer.
 PRIME = (1 << 31) - 1
@@ -33,7 +33,8 @@ def minhash(df: DataFrame, ids: list[str], text: str, config: SieveConfig = Siev
 
     Shingles are exploded and their minima combine before the shuffle, so what moves is a row's ids and its minima.
     """
-    one = df.select(*ids, F.explode(shingles(F.col(text), config.ngram_type, config.ngram_size, exact_fold)).alias("_shingle"))
+    normal = df.select(*ids, normalized(F.col(f"`{text}`"), exact_fold).alias("_text"))  # a step of its own, so it is worked out once a row
+    one = normal.select(*ids, F.explode(shingles_of_normal(F.col("_text"), config.ngram_type, config.ngram_size)).alias("_shingle"))
     hashed = one.select(*ids, shingle_hash(F.col("_shingle"), config.hash_name).alias("_x"))
     return hashed.groupBy(*ids).agg(*(F.min((F.col("_x") * a + b) % PRIME).alias(f"m{i}") for i, (a, b) in enumerate(permutations(config.num_perm, config.seed))))
 

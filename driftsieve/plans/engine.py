@@ -24,7 +24,7 @@ from driftsieve.functions.signatures import band_keys, by_band
 from driftsieve.operators import dedup
 from driftsieve.operators.index import KeyIndex, folder_name
 from driftsieve.sources import releases as src
-from driftsieve.storage import Workspace
+from driftsieve.storage import Workspace, spread
 
 log = logging.getLogger("driftsieve")
 PLACE = ["file_rank", "row_index"]
@@ -158,7 +158,7 @@ class Sieve:
         if row_keys is not None:
             keyed = self.spark.read.parquet(str(row_keys))
         elif files:
-            keyed = work.keep(band_keys(self._rows(files, column), PLACE, "text", config), "keys")
+            keyed = work.keep(band_keys(spread(self._rows(files, column)), PLACE, "text", config), "keys")
         else:
             keyed = self.spark.createDataFrame([], "file_rank int, row_index long, keys array<long>")
         n_input = keyed.count()

@@ -9,6 +9,7 @@ from driftsieve.config import SieveConfig
 from driftsieve.functions.shingles import normalized, sanitized, shingles
 from driftsieve.functions.signatures import PRIME, band_keys, by_band, minhash, permutations
 from driftsieve.operators import dedup
+from driftsieve.storage import spread
 
 CONFIG = SieveConfig()
 LEFT_OUT = "crawl_alder"  # the release of the faithful withdrawal
@@ -20,7 +21,7 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _documents(spark, d) -> DataFrame:
-    return _t(spark, d, "documents").select("doc_id", "text")
+    return spread(_t(spark, d, "documents").select("doc_id", "text"))
 
 
 def _banded(spark, d) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -44,3 +45,15 @@ class Workspace:
         for file in df.inputFiles()[:1]:
             path = jvm.org.apache.hadoop.fs.Path(file).getParent()
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_CHEAP = {"Project", "Filter", "Relation", "RelationV2", "LogicalRDD", "LocalRelation", "Union"}
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan (with filters and projections at most) of fewer partitions than there are cores, dealt out over the cores;
+    larger ones stay as they are, unshuffled. A file of one row group is one partition however it is split. Other plans
+    stay as they are too: to ask for their partitions would run them."""
+    nodes = set(re.findall(r"^[\s:|+\-]*([A-Z]\w*)", df._jdf.queryExecution().optimizedPlan().toString(), re.M))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if nodes <= _CHEAP and df.rdd.getNumPartitions() < cores else df
