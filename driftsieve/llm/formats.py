@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from driftsieve.llm.arrow import chunks, hash128, named, partitions
 from driftsieve.llm.textforms import canonical_batch, plain_batch, record_key
-from driftsieve.storage import Workspace
+from driftsieve.storage import Workspace, spread
 
 LEAST_LETTERS = 20
 
@@ -36,7 +36,7 @@ def _keys(df: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
             keys = copy_keys([plain[i] for i in at], [canon[i] for i in at])
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(keys, pa.string())], names=["id", "key"])
 
-    source = named(df, id=id_col, text=text_col).where("id is not null and text is not null").withColumn("id", F.col("id").cast("long"))
+    source = spread(named(df, id=id_col, text=text_col).where("id is not null and text is not null").withColumn("id", F.col("id").cast("long")))
     return source.mapInArrow(run, "id long, key string")
 
 

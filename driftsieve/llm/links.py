@@ -8,21 +8,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftsieve.llm.arrow import chunks, hash128, named, partitions
 from driftsieve.llm.formats import copy_keys
 from driftsieve.llm.textforms import canonical_batch, plain_batch, window_hashes
-from driftsieve.storage import Workspace
+from driftsieve.storage import Workspace, spread
 
 LEAST_LETTERS = 20
 WIDTH = 20
 THRESHOLD = 0.6
-#: Members of a block that are paired directly; larger blocks are split by a second key (see pairs_in_blocks).
-SPLIT_AT = 256
-#: Keys that a split block's members must share before neighbours stand for all pairs.
-DEPTH = 4
+#: Members of a block that are paired in full; see linked_in_blocks for larger ones.
+SPLIT_AT = 128
 
 
 def forms(batches, least: int, extra):
@@ -57,7 +55,7 @@ def forms(batches, least: int, extra):
 
 def source(df: DataFrame, id_col: str, text_col: str, tag_col: str | None = None) -> DataFrame:
     columns = {"id": id_col, "text": text_col} | ({"tag": tag_col} if tag_col else {})
-    return named(df, **columns).where("id is not null and text is not null").withColumn("id", F.col("id").cast("long"))
+    return spread(named(df, **columns).where("id is not null and text is not null").withColumn("id", F.col("id").cast("long")))
 
 
 # ------------------------------------------------------------------ blocks
@@ -114,36 +112,38 @@ def _block_pairs(limit: int):
     return run
 
 
-def pairs_in_blocks(blocks: DataFrame, keys_of: DataFrame, work: Workspace, least: int = 1, split_at: int = SPLIT_AT, depth: int = DEPTH) -> DataFrame:
-    """(a, b), a < b: members that share at least `least` keys of `blocks` (key, member).
+def linked_in_blocks(blocks: DataFrame, keys_of: DataFrame, work: Workspace, verify, least: int = 1, groups: DataFrame | None = None, split_at: int = SPLIT_AT) -> DataFrame:
+    """Links (id_a, id_b) of members that share at least `least` keys of `blocks` (key, member).
 
-    A block of over `split_at` different members is split: its members meet again under each pair of its key and another
-    of their keys (`keys_of`: member, keys), up to `depth` shared keys; such pairs need no more keys. Only members that
-    share that many keys and are still too many are joined with their neighbours alone, which keeps groups whole, as such
-    members are near copies.
+    verify takes pairs (a, b) of members and gives (a, b, id_a, id_b) of those that are linked. A block of over `split_at`
+    members isn't paired in full: each of its members is held against the least member of each group in the block
+    (`groups`: member, grp; one group if none are given). A member that is linked to it needs no other of that group: it is
+    in one component with it, and has a link into the group. The others are held against all members of the group
+    that share another key with them (`keys_of`: member, keys).
     """
     n = partitions(blocks)
-    found, level = [], 0
-    while True:
-        got = blocks.select("key", "member").repartition(n, "key").sortWithinPartitions("key", "member").mapInArrow(_block_pairs(split_at), "key long, a long, b long")
-        got = got.groupBy("a", "b", F.when(F.col("b").isNull(), F.col("key")).alias("key")).agg(F.count("*").alias("shared"))
-        got = work.keep(got.where(F.col("b").isNull() | (F.col("shared") >= (1 if level else least))), f"pairs{level}")
-        found.append(got.where("b is not null").select("a", "b"))
-        hot = got.where("b is null").select("key", F.col("a").alias("member"))
-        if hot.isEmpty():
-            break
-        level += 1
-        if level >= depth:
-            ahead = F.lead("member").over(Window.partitionBy("key").orderBy("member"))
-            found.append(hot.withColumn("b", ahead).where("b is not null").select(F.col("member").alias("a"), "b"))
-            break
-        more = keys_of.withColumnRenamed("member", "m").select("m", F.explode("keys").alias("other"))
-        blocks = hot.join(more, hot["member"] == more["m"]).where("key <> other").select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other"), F.lit(level)).alias("key"), "member")
-    if len(found) == 1:
-        return found[0]
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
+    got = blocks.select("key", "member").repartition(n, "key").sortWithinPartitions("key", "member").mapInArrow(_block_pairs(split_at), "key long, a long, b long")
+    got = got.groupBy("a", "b", F.when(F.col("b").isNull(), F.col("key")).alias("key")).agg(F.count("*").alias("shared"))
+    got = work.keep(got.where(F.col("b").isNull() | (F.col("shared") >= least)), "pairs")
+    small = got.where("b is not null").select("a", "b")
+    hot = got.where("b is null").select("key", F.col("a").alias("member"))
+    if hot.isEmpty():
+        return verify(small).select("id_a", "id_b")
+
+    hot = work.keep(hot.join(groups, "member") if groups is not None else hot.withColumn("grp", F.lit(0)), "hot")
+    first_of = hot.groupBy("key", "grp").agg(F.min("member").alias("first"))
+    star = work.keep(hot.select("key", "member").distinct().join(first_of, "key").where("member <> first"), "star")
+    pairs = work.keep(small.union(star.select(F.least("member", "first"), F.greatest("member", "first"))).distinct(), "first_pairs")
+    linked = work.keep(verify(pairs), "first_links")
+    done = linked.select(F.col("a").alias("member"), F.col("b").alias("first")).union(linked.select("b", "a")).distinct()
+    left = work.keep(star.join(done, ["member", "first"], "left_anti").select("key", "member", "grp"), "left")
+    out = linked.select("id_a", "id_b")
+    if not left.isEmpty():
+        other = keys_of.select("member", F.explode("keys").alias("other"))
+        mine = left.join(other, "member").where("key <> other").withColumnRenamed("member", "u")
+        theirs = hot.join(other, "member").withColumnRenamed("member", "v")
+        more = mine.join(theirs, ["key", "other", "grp"]).where("u <> v").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+        out = out.union(verify(more.join(pairs, ["a", "b"], "left_anti")).select("id_a", "id_b"))
     return out.distinct()
 
 

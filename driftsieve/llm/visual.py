@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from driftsieve.llm.arrow import chunks, hash128, named
 from driftsieve.llm.textforms import canonical_batch, plain_batch
-from driftsieve.storage import Workspace
+from driftsieve.storage import Workspace, spread
 
 LEAST_LETTERS = 20
 
@@ -47,7 +47,7 @@ def _forms(df: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
             t1, t2 = hash128([texts[i] for i in at])
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), *map(pa.array, (hi, lo, t1, t2))], names=["id", "p1", "p2", "t1", "t2"])
 
-    source = named(df, id=id_col, text=text_col).where("id is not null and text is not null").withColumn("id", F.col("id").cast("long"))
+    source = spread(named(df, id=id_col, text=text_col).where("id is not null and text is not null").withColumn("id", F.col("id").cast("long")))
     return source.mapInArrow(run, "id long, p1 long, p2 long, t1 long, t2 long")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from driftsieve.llm.arrow import chunks, named
 from driftsieve.llm.textforms import canonical_batch, mix, plain_batch
+from driftsieve.storage import spread
 
 _B = 0xD1342543DE82EF95
 _BINV = pow(_B, -1, 1 << 64)
@@ -67,7 +68,7 @@ def words_of(df: DataFrame, id_col: str, text_col: str, sentences: bool = False)
             words, full = np.bincount(owner, n, minlength=len(parts)).astype(np.int64), n > 0
             yield pa.RecordBatch.from_arrays([b.column(0), _lists(words, h, pa.int32()), _lists(np.bincount(owner[full], minlength=len(parts)), n[full], pa.int32())], names=["id", "words", "sizes"])
 
-    source = named(df, id=id_col, text=text_col).where("id is not null and text is not null").withColumn("id", F.col("id").cast("long"))
+    source = spread(named(df, id=id_col, text=text_col).where("id is not null and text is not null").withColumn("id", F.col("id").cast("long")))
     return source.mapInArrow(run, "id long, words array<int>" + (", sizes array<int>" if sentences else ""))
 
 

@@ -122,16 +122,28 @@ def test_p1_release_by_release(spark, rows, truth, tmp_path):
     assert out == {(i, s) for i, s in _p1_truth(rows, truth) if release[i] in big and s in big}
 
 
-@pytest.mark.parametrize("split, depth", [(4, 3), (2, 1)])
-def test_blocks_are_split(spark, tmp_path, split, depth):
-    """A hot block gives all pairs of members that share another key, and keeps the group whole beyond that."""
+@pytest.mark.parametrize("split", [2, 5, 100])
+def test_hot_blocks(spark, split):
+    """All members share a key. Groups stay whole, and each member keeps a link into each tag it is linked to."""
     from driftsieve.storage import Workspace
 
-    members = [(m, [1, 100 + m // 3]) for m in range(12)]
+    linked = lambda a, b: a // 6 == b // 6 or {a, b} == {5, 6}
+    members = [(m, [1, 100 + m // 6, 200 + (m in (5, 6))]) for m in range(24)]
     keyed = spark.createDataFrame(members, "member long, keys array<long>")
+    groups = spark.createDataFrame([(m, m % 2) for m in range(24)], "member long, grp int")
+    every = spark.createDataFrame([(a, b) for a in range(24) for b in range(a + 1, 24) if linked(a, b)], "a long, b long")
+    verify = lambda p: p.join(every, ["a", "b"]).selectExpr("a", "b", "a AS id_a", "b AS id_b")
     blocks = keyed.selectExpr("member", "explode(keys) AS key")
-    pairs = got(links.pairs_in_blocks(blocks, keyed, Workspace(spark, "t"), 1, split, depth))
-    assert {(a, b) for a in range(12) for b in range(a + 1, 12) if a // 3 == b // 3} <= pairs | {(0, 2), (3, 5), (6, 8), (9, 11)}
+    for by in (None, groups):
+        pairs = got(links.linked_in_blocks(blocks, keyed, Workspace(spark, "t"), verify, 1, by, split))
+        g = Groups()
+        for a, b in pairs:
+            assert linked(a, b)
+            g.join(a, b)
+        assert {g.find(x) for x in range(12)} == {0} and {g.find(x) for x in range(12, 24)} == {12, 18}
+        if by is not None:
+            into = {(a, b % 2) for x, y in pairs for a, b in ((x, y), (y, x))}
+            assert into >= {(a, t) for a in range(24) for t in (0, 1) if any(linked(a, b) for b in range(24) if b != a and b % 2 == t)}
 
 
 def test_components(spark):
@@ -343,6 +355,22 @@ def test_short_texts_meet(spark, odd_ledger):
     assert got(near_groups(d)) == {(1, 2)}
 
 
+def test_a_third_are_near_copies(spark):
+    """A hot group of different but similar texts: none is lost."""
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(3000)]
+    base, rows = rng.choices(words, k=70), []
+    for i in range(900):
+        text = list(base) if i % 3 == 0 else rng.choices(words, k=70)
+        for _ in range(2):
+            text[rng.randrange(70)] = rng.choice(words)
+        rows.append((i, " ".join(text), "ab"[i % 2]))
+    d = spark.createDataFrame(rows, "id long, text string, dataset string")
+    ledger = spark.createDataFrame([(1, "ingest", "a"), (2, "ingest", "b")], "event_no int, op string, dataset string")
+    assert got(near_groups(d)) == {(0, i) for i in range(3, 900, 3)}
+    assert got(duplicates_of_history(d, ledger)) == {(i, "a") for i in range(3, 900, 6)}
+
+
 def test_a_run_over_many_partitions(spark):
     """A third of all rows are copies of one text; the run crosses range partitions."""
     d = spark.createDataFrame([(i, "Copies of one text that is long enough to count." if i % 3 else f"text number {i} that is long enough to count") for i in range(600)], "id long, text string").repartition(6)
