@@ -311,13 +311,18 @@ def test_p8_on_made_texts(spark):
     assert got(Subjects(d, lab.limit(0), areas).assign()) == set() == got(Subjects(d.limit(0), lab, areas).assign())
 
 
-def test_p8_agrees_with_labels(spark):
-    """Held-out accuracy on the test data: documents whose labels were not learnt from."""
-    sf = "/root/testdata/sf0.01"
+def test_p8_held_out_labels(spark):
+    """Learnt from the labels of half the documents, it gives most labels of the other half; some labels are wrong on purpose."""
+    sf = "/root/testdata/sf0.1"
     t = lambda n: spark.read.parquet(f"{sf}/{n}.parquet")
-    found = got(Q.queries()["p8_found"](spark, sf))
-    areas = {r[0] for r in t("subject_areas").select("subject").collect()}
-    assert found and {s for _, s in found} <= areas
+    labels, areas = t("subject_labels"), t("subject_areas")
+    found = got(Subjects(t("documents"), labels.where("doc_id % 2 = 0"), areas).assign().select("doc_id", "subject"))
+    assert {s for _, s in found} <= {r[0] for r in areas.select("subject").collect()}
+    held = {(r["doc_id"], r["subject"].strip().lower()) for r in labels.where("doc_id % 2 = 1 and subject is not null").collect()}
+    with_text = {r[0] for r in t("documents").where("length(text) > 0").select("doc_id").collect()}
+    held = {h for h in held if h[0] in with_text}
+    print("held-out labels found", len(held & found), "of", len(held))
+    assert len(held & found) >= 0.8 * len(held)
 
 
 @pytest.fixture(scope="module")
