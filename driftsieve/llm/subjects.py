@@ -1,13 +1,13 @@
 """Subject area of each document: bisecting k-means, leaves labelled by discriminative terms, leaf mixtures.
 
-1. Hand labels of a bounded sample give each term's subjects; terms that speak for few subjects are discriminative.
-2. Every document gets a normalised vector of its discriminative terms, and all vectors are clustered by bisecting
-   k-means: each pass splits all leaves of a level at once, on the executors.
-3. A leaf's own discriminative terms, those it has more often than the corpus, give it a mixture of subjects. A term's
-   spread over leaves and their mixtures is the prior of its subjects, which its labels refine; so terms that no
-   labelled document holds take their subject from the company they keep.
-4. A sentence belongs to the subject that its terms speak for, if any; where they speak for several alike, the
-   mixture of the document's leaf decides. A document gets each subject of at least a quarter of its sentences.
+1. Every document gets a normalised vector of all its words (hashed, weighted by TF-IDF, projected), and all vectors are
+   clustered by bisecting k-means: each pass splits all leaves of a level at once, on the executors.
+2. Hand labels of a bounded sample give each term's subjects; terms that speak for few subjects are discriminative.
+3. A leaf's mixture is the part of its sentences that discriminative terms give to each subject, or to none. A term's
+   spread over leaves and their mixtures says which subjects it speaks for, and its labels refine that; so terms that no
+   labelled document holds take their subject from the company they keep. The mixtures are then taken again with them.
+4. A sentence that holds a discriminative term belongs to the likeliest subject by its terms and by the mixture of the
+   document's leaf, if that is likely enough. A document gets each subject of at least a quarter of its sentences.
 """
 
 from __future__ import annotations
@@ -26,14 +26,19 @@ FEATURES = 1 << 17
 MOST_LABELLED = 20_000
 #: Subjects, each a bit of a signed 64-bit number.
 MOST_SUBJECTS = 62
-#: Discriminative terms at most, the surest first, and how sure they are (standard deviations, share of one subject).
-MOST_TERMS, SURE, SHARE = 8192, 4.0, 0.4
+#: Discriminative terms: how sure they are by labels (standard deviations, share of one subject), and by their leaves
+#: alone, whose documents are like each other and so say less each, and of how many documents then.
+SURE, SHARE = 4.0, 0.4
+LEAF_SURE, LEAST_DOCS = 8.0, 5
 DIMENSIONS, LEVELS, ROUNDS, LEAST_LEAF = 64, 6, 4, 40
 LEAST_PART = 0.25
 #: Sentences of fewer words are headings and scraps; longer ones than this have lost their marks and are cut.
 SHORTEST, LONGEST, USUAL = 6, 30, 13
-#: What a term's leaves weigh against its labelled documents, and the least sum of log odds that a sentence needs.
-PRIOR, LEAST_SCORE = 1.0, 0.7
+#: The least sum of log odds that a sentence needs, the rounds of mixtures, and the sentences that a leaf's mixture is smoothed by.
+LEAST_SCORE, MIXTURES, SMOOTH = 0.7, 2, 10.0
+#: What a term's leaves weigh against its labelled documents, and a leaf's mixture against a sentence's terms: most leaves
+#: mix subjects, and at full weight they take sentences from the subjects that are rarer in them.
+PRIOR, LEAF = 1.0, 0.3
 
 
 def _flat(batch, column):
@@ -60,51 +65,36 @@ def labelled_subjects(labels: DataFrame, areas: DataFrame, doc_col: str, subject
     return subjects, {d: b for d, b in each.orderBy(F.xxhash64("doc"), "doc").limit(MOST_LABELLED).collect()}
 
 
-def _label_counts(words: DataFrame, bits: dict[int, int], n: int) -> np.ndarray:
-    """Documents of each term and subject, a document's weight shared by its subjects; the last row is of documents."""
+def _counts(words: DataFrame, bits: dict[int, int], n: int) -> np.ndarray:
+    """Documents of each term: labelled ones by subject, a document's weight shared by its subjects, and in the last
+    column all documents; the last row is of documents."""
     shared = words.sparkSession.sparkContext.broadcast(bits)  # at most MOST_LABELLED
 
     def run(batches):
-        total = np.zeros((FEATURES + 1, n), np.float32)
+        total = np.zeros((FEATURES + 1, n + 1))
         known = shared.value
         for b in batches:
             ids = b.column(0).to_pylist()
-            hit = [i for i, d in enumerate(ids) if d in known]
-            if not hit:
-                continue
-            part = b.take(pa.array(hit))
-            w, size = _flat(part, 1)
-            doc = np.repeat(np.arange(len(hit)), size)
-            cell = np.unique(doc * FEATURES + (w & (FEATURES - 1)))
-            has = np.array([[known[ids[i]] >> k & 1 for k in range(n)] for i in hit], np.float32)
-            weight = has / has.sum(1, keepdims=True)
+            w, size = _flat(b, 1)
+            cell = np.unique(np.repeat(np.arange(len(ids)), size) * FEATURES + (w & (FEATURES - 1)))
+            total[:FEATURES, n] += np.bincount(cell % FEATURES, minlength=FEATURES)
+            total[FEATURES, n] += len(ids)
+            has = np.array([[known.get(i, 0) >> k & 1 for k in range(n)] for i in ids], float).reshape(-1, n)
+            weight = has / np.maximum(has.sum(1, keepdims=True), 1)
+            cell = cell[has.any(1)[cell // FEATURES]]
             for k in range(n):
-                total[:FEATURES, k] += np.bincount(cell % FEATURES, weight[cell // FEATURES, k], minlength=FEATURES).astype(np.float32)
-            total[FEATURES] += weight.sum(0)
+                total[:FEATURES, k] += np.bincount(cell % FEATURES, weight[cell // FEATURES, k], minlength=FEATURES)
+            total[FEATURES, :n] += weight.sum(0)
         return total
 
-    return summed(words, run, (FEATURES + 1, n), np.float32).astype(np.float64)
-
+    return summed(words, run, (FEATURES + 1, n + 1), np.float32).astype(np.float64)
 
-class Terms:
-    """Discriminative terms: their features and what labels say of their subjects."""
-
-    def __init__(self, counts: np.ndarray):
-        docs, by = counts[-1], counts[:-1]
-        self.base = (docs + 1) / (docs + 1).sum()
-        n = by.sum(1)
-        expected = n[:, None] * self.base
-        z = ((by - expected) / np.sqrt(np.maximum(expected * (1 - self.base), 1e-9))).max(1)
-        part = by.max(1) / np.maximum(n, 1e-9)
-        sure = np.flatnonzero((n >= 2) & (z >= SURE) & (part >= SHARE))
-        sure = sure[np.argsort(-z[sure], kind="stable")][:MOST_TERMS]
-        self.features = np.sort(sure)
-        self.counts = by[self.features]
-        self.place = np.full(FEATURES, -1, np.int32)
-        self.place[self.features] = np.arange(len(self.features))
 
-    def __len__(self) -> int:
-        return len(self.features)
+def _sure(by: np.ndarray, n: np.ndarray, base: np.ndarray, share: np.ndarray, least: float) -> np.ndarray:
+    """Whether terms of n documents, `by` of them of each subject, speak for one subject more than chance would."""
+    expected = n[:, None] * base
+    z = (by - expected) / np.sqrt(np.maximum(expected * (1 - base), 1e-9))
+    return ((z >= least) & (share >= SHARE)).any(1)
 
 
 class Tree:
@@ -181,78 +171,121 @@ def cluster(vectors: DataFrame, levels: int = LEVELS, rounds: int = ROUNDS, leas
     return tree
 
 
-def _leaf_counts(rows: DataFrame, tree: Tree, terms: Terms) -> np.ndarray:
-    """Documents of each node and discriminative term; the last column is of documents."""
-    size = max(1, len(terms))
+def _leaf_counts(rows: DataFrame, tree: Tree) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(leaf, term, documents), for all terms of each leaf."""
 
     def run(batches):
-        total = np.zeros((tree.nodes, size + 1), np.float32)
+        held, count = np.empty(0, np.int64), np.empty(0, np.int64)
         for b in batches:
-            if not b.num_rows:
-                continue
-            leaf = tree.leaf(_read(b, 0))
-            t, n = _flat(b, 1)
-            owner = np.repeat(leaf, n)
-            total[:, :size] += np.bincount(owner * size + t, minlength=tree.nodes * size).reshape(tree.nodes, size)
-            total[:, size] += np.bincount(leaf, minlength=tree.nodes)
-        return total
+            for p in _parts([b]):
+                w, size = _flat(p, 0)
+                cell = np.unique(np.repeat(np.arange(p.num_rows), size) * FEATURES + (w & (FEATURES - 1)))
+                cell = tree.leaf(_read(p, 1))[cell // FEATURES] * FEATURES + cell % FEATURES
+                both, at = np.unique(np.concatenate((held, cell)), return_inverse=True)
+                count = np.bincount(at, np.concatenate((count, np.ones(len(cell), np.int64))), minlength=len(both)).astype(np.int64)
+                held = both
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(count)], names=["cell", "n"])
 
-    return summed(rows.select("vector", "terms"), run, (tree.nodes, size + 1), np.float32).astype(np.float64)
+    got = rows.select("words", "vector").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most 2^LEVELS times FEATURES rows
+    cell, n = (got.column(k).to_numpy() for k in (0, 1))
+    return cell // FEATURES, cell % FEATURES, n
 
 
 class Model:
-    """Log odds of each discriminative term for each subject, and the log mixture of each leaf."""
-
-    def __init__(self, subjects: list[str], terms: Terms, tree: Tree, leaves: np.ndarray):
-        self.subjects, self.place, self.tree = subjects, terms.place, tree
-        n, size = len(subjects), max(1, len(terms))
-        counts = np.zeros((size, n))
-        counts[: len(terms)] = terms.counts
-        said = (counts + terms.base) / (counts.sum(1, keepdims=True) + 1)
-        # A leaf's discriminative terms: those it has more often than the corpus; they vote for their subjects.
-        by, docs = leaves[:, :size], leaves[:, size]
-        lift = np.log(((by + 0.5) / (docs + 1)[:, None]) / ((by.sum(0) + 0.5) / (docs.sum() + 1)))
-        vote = (by * np.maximum(lift, 0)) @ (said * np.maximum(np.log(said / terms.base), 0))
-        self.mixture = (vote + vote.sum(1, keepdims=True) * 0.01 + 1e-9) / (vote + vote.sum(1, keepdims=True) * 0.01 + 1e-9).sum(1, keepdims=True)
-        spread = by / np.maximum(by.sum(0), 1e-9)
-        prior = np.where(by.sum(0)[:, None] > 0, spread.T @ self.mixture, terms.base)
-        odds = np.log((counts + PRIOR * prior) / (counts.sum(1, keepdims=True) + PRIOR) / terms.base)
-        self.odds = np.vstack([odds, np.zeros(n)]).astype(np.float32)  # the last row is of all other words
-        self.leaf_odds = np.log(self.mixture).astype(np.float32)
+    """Log odds of each discriminative term for each subject, and the log odds of each leaf's mixture."""
+
+    def __init__(self, subjects: list[str], counts: np.ndarray, tree: Tree, leaves):
+        self.subjects, self.tree = subjects, tree
+        n = len(subjects)
+        docs = counts[-1, :n]
+        self.base, self.by, self.leaves = (docs + 1) / (docs + 1).sum(), counts[:-1, :n], leaves
+        said = self.by.sum(1)
+        self.labelled = (said >= 2) & _sure(self.by, said, self.base, self.by / np.maximum(said, 1e-9)[:, None], SURE)
+        self.leaf_odds = np.zeros((tree.nodes, n), np.float32)
+        self._learn(np.ones((FEATURES, n)), self.labelled)
+
+    def __len__(self) -> int:
+        return len(self.odds) - 1
+
+    def _learn(self, lift: np.ndarray, use: np.ndarray) -> None:
+        features = np.flatnonzero(use)
+        by = self.by[features]
+        odds = np.log((by / self.base + PRIOR * lift[features]) / (by.sum(1, keepdims=True) + PRIOR))
+        self.odds = np.vstack([odds, np.zeros(len(self.subjects))]).astype(np.float32)  # the last row is of all other words
+        self.place = np.full(FEATURES, -1, np.int32)
+        self.place[features] = np.arange(len(features))
+
+    def mix(self, sentences: np.ndarray) -> None:
+        """Takes the leaves' mixtures from the sentences of each node and subject (the last is none), and from these the
+        subjects of all terms."""
+        n = len(self.subjects)
+        whole = sentences.sum(0) + 1e-3
+        whole /= whole.sum()
+        mixture = (sentences + SMOOTH * whole) / (sentences.sum(1, keepdims=True) + SMOOTH)
+        leaf, term, docs = self.leaves
+        seen = np.bincount(term, docs, minlength=FEATURES)
+        by = np.stack([np.bincount(term, docs * mixture[leaf, k], minlength=FEATURES) for k in range(n + 1)], 1)
+        base = by.sum(0) / max(by.sum(), 1e-9)
+        # A term of few documents is held to what all terms have.
+        lift = (by[:, :n] + base[:n]) / (seen[:, None] + 1) / np.maximum(base[:n], 1e-9)
+        share = lift * self.base
+        share /= share.sum(1, keepdims=True)
+        unlabelled = (seen >= LEAST_DOCS) & _sure(by[:, :n], seen, base[:n], share, LEAF_SURE)
+        self._learn(lift, self.labelled | unlabelled)
+        self.leaf_odds = np.log(mixture[:, :n] / whole[:n]).astype(np.float32)
+
+
+def _sentences(b, model: Model, leaf_weight: float):
+    """For each sentence of a batch: its row, its leaf, and its subject, or how many subjects there are if it has none."""
+    w, _ = _flat(b, 1)
+    lengths, per = _flat(b, 2)
+    # Sentences that lost their marks are cut into pieces of the usual length; scraps are left out.
+    doc = np.repeat(np.arange(b.num_rows), per)
+    pieces = np.where(lengths > LONGEST, -(-lengths // USUAL), 1)
+    ends = np.cumsum(lengths)
+    first = np.repeat(ends - lengths, pieces)
+    step = np.arange(len(first)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    width = np.repeat(np.where(pieces > 1, USUAL, lengths), pieces)
+    start = first + step * width
+    long = np.minimum(np.repeat(ends, pieces), start + width) - start
+    owner = np.repeat(doc, pieces)
+    use = long >= SHORTEST
+    start, owner, end = start[use], owner[use], start[use] + long[use]
+    term = model.place[w & (FEATURES - 1)]
+    scores = model.odds[term]  # -1 is the row of all other words
+    total = np.concatenate((np.zeros((1, scores.shape[1])), np.cumsum(scores, axis=0, dtype=np.float64)))
+    known = np.concatenate(([0], np.cumsum(term >= 0)))
+    leaf = model.tree.leaf(_read(b, 3))[owner]
+    score = total[end] - total[start] + leaf_weight * model.leaf_odds[leaf]
+    best = score.argmax(1)
+    belongs = (known[end] > known[start]) & (score[np.arange(len(best)), best] >= LEAST_SCORE)
+    return owner, leaf, np.where(belongs, best, score.shape[1])
+
+
+def _leaf_sentences(rows: DataFrame, model: Model) -> np.ndarray:
+    """Sentences of each node and subject by their terms alone; the last column is of those of none."""
+    n = len(model.subjects) + 1
+    shape = (model.tree.nodes, n)
+
+    def run(batches):
+        total = np.zeros(shape)
+        for b in _parts(batches):
+            _, leaf, subject = _sentences(b, model, 0.0)
+            total += np.bincount(leaf * n + subject, minlength=total.size).reshape(shape)
+        return total
+
+    return summed(rows.select("id", "words", "sizes", "vector"), run, shape)
 
 
 def _assign(model: Model, least: float):
     def run(batches):
         for b in _parts(batches):
-            ids = b.column(0)
-            w, size = _flat(b, 1)
-            lengths, per = _flat(b, 2)
-            # Sentences that lost their marks are cut into pieces of the usual length; scraps are left out.
-            doc = np.repeat(np.arange(b.num_rows), per)
-            pieces = np.where(lengths > LONGEST, -(-lengths // USUAL), 1)
-            ends = np.cumsum(lengths)
-            first = np.repeat(ends - lengths, pieces)
-            step = np.arange(len(first)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-            width = np.repeat(np.where(pieces > 1, USUAL, lengths), pieces)
-            start = first + step * width
-            long = np.minimum(np.repeat(ends, pieces), start + width) - start
-            owner = np.repeat(doc, pieces)
-            use = long >= SHORTEST
-            start, owner = start[use], owner[use]
-            if not len(start):
-                continue
-            term = model.place[w & (FEATURES - 1)]
-            scores = model.odds[term]  # -1 is the row of all other words
-            total = np.concatenate((np.zeros((1, scores.shape[1])), np.cumsum(scores, axis=0, dtype=np.float64)))
-            score = total[start + long[use]] - total[start]
-            leaf = model.tree.leaf(_read(b, 3))
-            best = (score + 0.1 * model.leaf_odds[leaf[owner]]).argmax(1)
-            belongs = score[np.arange(len(best)), best] >= LEAST_SCORE
-            n = score.shape[1]
-            count = np.bincount(owner[belongs] * n + best[belongs], minlength=b.num_rows * n).reshape(-1, n)
+            owner, _, subject = _sentences(b, model, LEAF)
+            n = len(model.subjects)
+            count = np.bincount(owner * (n + 1) + subject, minlength=b.num_rows * (n + 1)).reshape(-1, n + 1)[:, :n]
             sentences = np.bincount(owner, minlength=b.num_rows)
             d, s = np.nonzero((count >= least * sentences[:, None]) & (count > 0))
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(d)), pa.array([model.subjects[k] for k in s], pa.string()), pa.array(count[d, s] / sentences[d])], names=["doc_id", "subject", "part"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(d)), pa.array([model.subjects[k] for k in s], pa.string()), pa.array(count[d, s] / sentences[d])], names=["doc_id", "subject", "part"])
 
     return run
 
@@ -264,44 +297,43 @@ class Subjects:
         self.work = Workspace(documents.sparkSession, "subjects")
         self.subjects, bits = labelled_subjects(labels, areas, label_doc, label_subject, area_subject)
         words = self.work.keep(words_of(documents, id_col, text_col, sentences=True), "words")
-        self.terms = Terms(_label_counts(words, bits, max(1, len(self.subjects))))
-        self.rows = self.work.keep(_with_vectors(words, self.terms), "vectors")
-        self.tree = cluster(self.rows.select("id", "vector"))
-        self.model = Model(self.subjects, self.terms, self.tree, _leaf_counts(self.rows, self.tree, self.terms))
+        counts = _counts(words, bits, max(1, len(self.subjects)))
+        self.rows = self.work.keep(_with_vectors(words, counts[:, -1]), "vectors")
+        tree = cluster(self.rows.select("id", "vector"))
+        self.model = Model(self.subjects, counts[:, : max(1, len(self.subjects))], tree, _leaf_counts(self.rows, tree)) if self.subjects else None
+        for _ in range(MIXTURES if self.model else 0):
+            self.model.mix(_leaf_sentences(self.rows, self.model))
 
     def assign(self, least: float = LEAST_PART) -> DataFrame:
         """(doc_id, subject, part): subjects of at least that part of a document's sentences.
 
         Null ids and texts, and texts without a sentence of six words, get no row; a row that comes twice counts once;
-        without labels or subjects nothing is assigned. Ties between subjects within a sentence go to the one that leads
-        the document's leaf.
+        without labels or subjects nothing is assigned. Where a sentence's terms speak for several subjects alike, the
+        mixture of the document's leaf decides.
         """
-        if not self.subjects or not len(self.terms):
+        if not self.model or not len(self.model):
             return self.rows.sparkSession.createDataFrame([], "doc_id long, subject string, part double")
         found = self.rows.select("id", "words", "sizes", "vector").mapInArrow(_assign(self.model, least), "doc_id long, subject string, part double")
         return found.groupBy("doc_id", "subject").agg(F.max("part").alias("part"))
 
 
-def _with_vectors(words: DataFrame, terms: Terms) -> DataFrame:
-    """words with (vector, terms): the vector, and the different discriminative terms of each document."""
-    shared = words.sparkSession.sparkContext.broadcast(terms.place)  # FEATURES numbers
-    size = max(1, len(terms))
-    project = np.random.default_rng(5).choice(np.array([-1, 1], np.float32), (size, DIMENSIONS))
+def _with_vectors(words: DataFrame, docs: np.ndarray) -> DataFrame:
+    """words with the vector of each document: all its words by TF-IDF, projected. docs: documents of each term, and of all.
+    Terms of one document bring nothing together and are left out."""
+    idf = np.where(docs[:-1] >= 2, np.log((docs[-1] + 1) / (docs[:-1] + 1)), 0).astype(np.float32)
+    shared = words.sparkSession.sparkContext.broadcast(idf)  # FEATURES numbers
 
     def run(batches):
-        at = shared.value
+        project = np.random.default_rng(5).choice(np.array([-1, 1], np.int8), (FEATURES, DIMENSIONS))
         for b in _parts(batches):
             w, n = _flat(b, 1)
-            doc = np.repeat(np.arange(b.num_rows), n)
-            term = at[w & (FEATURES - 1)]
-            cell, tf = np.unique((doc * size + term)[term >= 0], return_counts=True)
-            d, t = cell // size, cell % size
+            cell, tf = np.unique(np.repeat(np.arange(b.num_rows), n) * FEATURES + (w & (FEATURES - 1)), return_counts=True)
+            d, t = cell // FEATURES, cell % FEATURES
             out = np.zeros((b.num_rows, DIMENSIONS), np.float32)
             if len(cell):
                 starts = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
-                out[d[starts]] = np.add.reduceat(project[t] * np.sqrt(tf)[:, None].astype(np.float32), starts, axis=0)
+                out[d[starts]] = np.add.reduceat(project[t] * (np.sqrt(tf).astype(np.float32) * shared.value[t])[:, None], starts, axis=0)
             out /= np.maximum(np.linalg.norm(out, axis=1), 1e-9)[:, None]
-            offsets = np.concatenate(([0], np.cumsum(np.bincount(d, minlength=b.num_rows)))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([r.tobytes() for r in out.astype(np.float16)], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(t, pa.int32()))], names=[*b.schema.names, "vector", "terms"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([r.tobytes() for r in out.astype(np.float16)], pa.binary())], names=[*b.schema.names, "vector"])
 
-    return words.mapInArrow(run, "id long, words array<int>, sizes array<int>, vector binary, terms array<int>")
+    return words.mapInArrow(run, "id long, words array<int>, sizes array<int>, vector binary")

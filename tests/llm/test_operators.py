@@ -311,6 +311,24 @@ def test_p8_on_made_texts(spark):
     assert got(Subjects(d, lab.limit(0), areas).assign()) == set() == got(Subjects(d.limit(0), lab, areas).assign())
 
 
+def test_p8_words_without_labels(spark):
+    """Words that no labelled document holds take their subject from the documents that they share with those that are labelled."""
+    rng = random.Random(4)
+    names = ["law", "music", "sport"]
+    sentence = lambda s, half: " ".join([f"{s}{half}{rng.randrange(12)}" for _ in range(5)] + [f"name{rng.randrange(999)}" for _ in range(2)]) + "."
+    docs, labels = [], []
+    for i in range(1200):
+        s = (*names, "day")[i // 4 % 4]
+        docs.append((i, " ".join(sentence(s, ("old", ("old", "new")[k % 2], ("old", "new")[k % 2], "new")[i % 4]) for k in range(8)), s))
+        labels += [(i, s)] if i % 4 == 0 and s != "day" else []
+    d = spark.createDataFrame(docs, "doc_id long, text string, s string")
+    found = got(Subjects(d, spark.createDataFrame(labels, "doc_id long, subject string"), spark.createDataFrame([(s,) for s in names], "subject string")).assign().select("doc_id", "subject"))
+    want = {(i, s) for i, _, s in docs if s != "day"}
+    new = {(i, s) for i, s in want if i % 4 == 3}
+    print(len(found & new), len(new), len(found & want), len(want), len(found - want))
+    assert len(found & new) >= 0.95 * len(new) and len(found & want) >= 0.95 * len(want) and len(found - want) <= 0.02 * len(want)
+
+
 def test_p8_held_out_labels(spark):
     """Learnt from the labels of half the documents, it gives most labels of the other half; some labels are wrong on purpose."""
     sf = "/root/testdata/sf0.1"
