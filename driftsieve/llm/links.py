@@ -21,6 +21,8 @@ WIDTH = 20
 THRESHOLD = 0.6
 #: Members of a block that are paired in full; see linked_in_blocks for larger ones.
 SPLIT_AT = 128
+#: Pieces that a larger block's members are dealt into where others are held against all of them.
+PIECES = 16
 
 
 def forms(batches, least: int, extra):
@@ -119,7 +121,7 @@ def linked_in_blocks(blocks: DataFrame, keys_of: DataFrame, work: Workspace, ver
     members isn't paired in full: each of its members is held against the least member of each group in the block
     (`groups`: member, grp; one group if none are given). A member that is linked to it needs no other of that group: it is
     in one component with it, and has a link into the group. The others are held against all members of the group
-    that share another key with them (`keys_of`: member, keys).
+    in the block; where a pair needs more than one key, against those that share another with them (`keys_of`: member, keys).
     """
     n = partitions(blocks)
     got = blocks.select("key", "member").repartition(n, "key").sortWithinPartitions("key", "member").mapInArrow(_block_pairs(split_at), "key long, a long, b long")
@@ -139,10 +141,14 @@ def linked_in_blocks(blocks: DataFrame, keys_of: DataFrame, work: Workspace, ver
     left = work.keep(star.join(done, ["member", "first"], "left_anti").select("key", "member", "grp"), "left")
     out = linked.select("id_a", "id_b")
     if not left.isEmpty():
-        other = keys_of.select("member", F.explode("keys").alias("other"))
-        mine = left.join(other, "member").where("key <> other").withColumnRenamed("member", "u")
-        theirs = hot.join(other, "member").withColumnRenamed("member", "v")
-        more = mine.join(theirs, ["key", "other", "grp"]).where("u <> v").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+        if least > 1:
+            other = keys_of.select("member", F.explode("keys").alias("other"))
+            mine, theirs, on = left.join(other, "member").where("key <> other"), hot.join(other, "member"), ["key", "other", "grp"]
+        else:  # a pair may share this block alone: the whole block, in pieces, so no task holds it
+            mine = left.withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(PIECES - 1))))
+            theirs, on = hot.withColumn("piece", F.pmod(F.xxhash64("member"), F.lit(PIECES)).cast("int")), ["key", "piece", "grp"]
+        mine, theirs = mine.withColumnRenamed("member", "u"), theirs.withColumnRenamed("member", "v")
+        more = mine.join(theirs, on).where("u <> v").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
         out = out.union(verify(more.join(pairs, ["a", "b"], "left_anti")).select("id_a", "id_b"))
     return out.distinct()
 

@@ -146,6 +146,17 @@ def test_hot_blocks(spark, split):
             assert into >= {(a, t) for a in range(24) for t in (0, 1) if any(linked(a, b) for b in range(24) if b != a and b % 2 == t)}
 
 
+@pytest.mark.parametrize("split", [2, 100])
+def test_a_hot_block_is_all_that_they_share(spark, split):
+    """Two members linked to each other, not to the block's least one, and without another key in common."""
+    from driftsieve.storage import Workspace
+
+    keyed = spark.createDataFrame([(m, [1, 100 + m]) for m in range(6)], "member long, keys array<long>")
+    every = spark.createDataFrame([(3, 4), (0, 2), (2, 5)], "a long, b long")
+    verify = lambda p: p.join(every, ["a", "b"]).selectExpr("a", "b", "a AS id_a", "b AS id_b")
+    assert got(links.linked_in_blocks(keyed.selectExpr("member", "explode(keys) AS key"), keyed, Workspace(spark, "t"), verify, 1, None, split)) == {(3, 4), (0, 2), (2, 5)}
+
+
 def test_components(spark):
     from driftsieve.storage import Workspace
 
