@@ -1,55 +1,55 @@
 """Subject area of each document: bisecting k-means, leaves labelled by discriminative terms, leaf mixtures.
 
-1. Every document gets a normalised vector of all its words (hashed, weighted by TF-IDF, projected), and all vectors are
-   clustered by bisecting k-means: each pass splits all leaves of a level at once, on the executors.
-2. Hand labels of a bounded sample give each term's subjects; terms that speak for few subjects are discriminative.
-3. A leaf's mixture is the part of its sentences that discriminative terms give to each subject, or to none. A term's
-   spread over leaves and their mixtures says which subjects it speaks for, and its labels refine that; so terms that no
-   labelled document holds take their subject from the company they keep. The mixtures are then taken again with them.
-4. A sentence that holds a discriminative term belongs to the likeliest subject by its terms and by the mixture of the
-   document's leaf, if that is likely enough. A document gets each subject of at least a quarter of its sentences.
+1. Every document gets a normalised vector of all its words (TF-IDF in a latent space of the whole corpus), and all
+   vectors are clustered by bisecting k-means; each pass splits all leaves of a level at once, on the executors.
+2. A leaf's discriminative terms are those that its documents hold far more often than chance would have it. Each
+   sentence of the corpus is placed in a leaf by the discriminative terms it holds and by the leaves of its document's other
+   sentences, and the leaves' terms are taken again from the sentences placed there. No label is used up to here.
+3. Hand labels of a bounded sample of documents name the leaves: a leaf's mixture is the part of its sentences that belongs
+   to each subject, or, as far as its labels are as mixed as all are, to none.
+4. Through the leaves' mixtures each discriminative term speaks for subjects, those in leaves without labels by the company
+   they keep. A sentence belongs to the likeliest subject, or to none, by its terms and its document's mixture, which
+   is that of the leaves of its sentences. A document gets each subject of at least a quarter of its sentences.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftsieve.llm import latent
 from driftsieve.llm.arrow import named
-from driftsieve.llm.words import summed, words_of
+from driftsieve.llm.latent import cells, runs
+from driftsieve.llm.words import flat, summed, words_of
 from driftsieve.storage import Workspace
 
-FEATURES = 1 << 17
-#: Labelled documents that the terms' subjects are learnt from.
+#: Hashed words, of the latent space and of the terms.
+SPACE, FEATURES = 1 << 14, 1 << 16
+#: Labelled documents that the leaves are named by.
 MOST_LABELLED = 20_000
 #: Subjects, each a bit of a signed 64-bit number.
 MOST_SUBJECTS = 62
-#: Discriminative terms: how sure they are by labels (standard deviations, share of one subject), and by their leaves
-#: alone, whose documents are like each other and so say less each, and of how many documents then.
-SURE, SHARE = 4.0, 0.4
-LEAF_SURE, LEAST_DOCS = 8.0, 5
-DIMENSIONS, LEVELS, ROUNDS, LEAST_LEAF = 64, 6, 4, 40
+#: The latent space; levels of splits, passes for each, and documents that a leaf has at least.
+DIMENSIONS, LEVELS, ROUNDS, LEAST_LEAF = 48, 8, 3, 8
+#: Discriminative terms of leaves: standard deviations over chance, in one leaf or over all; documents.
+SURE, LEAST_DOCS = 5.0, 5
+#: Discriminative terms of subjects: standard deviations over chance, and the part of its sentences that one subject has.
+SUBJECT_SURE, SHARE = 5.0, 0.45
+#: Times that the leaves' terms, and then the subjects' terms, are taken from the sentences.
+LEAF_PASSES, SUBJECT_PASSES = 2, 3
+#: Sentences that a term's rates are smoothed by; those that a document's own mixture is smoothed by, in leaves and in subjects.
+SMOOTH, LEAF_PRIOR, SUBJECT_PRIOR = 2.0, 0.5, 1.0
+#: What is left for subjects that a labelled document's labels don't name, as labels are wrong or incomplete at times.
+UNNAMED = 0.05
+#: Sentences that one of a labelled document counts as while no term of it speaks for a subject: it knows what others of its
+#: leaf don't.
+LABELLED = 5.0
 LEAST_PART = 0.25
-#: Sentences of fewer words are headings and scraps; longer ones than this have lost their marks and are cut.
-SHORTEST, LONGEST, USUAL = 6, 30, 13
-#: The least sum of log odds that a sentence needs, the rounds of mixtures, and the sentences that a leaf's mixture is smoothed by.
-LEAST_SCORE, MIXTURES, SMOOTH = 0.7, 2, 10.0
-#: What a term's leaves weigh against its labelled documents, and a leaf's mixture against a sentence's terms: most leaves
-#: mix subjects, and at full weight they take sentences from the subjects that are rarer in them.
-PRIOR, LEAF = 1.0, 0.3
-
-
-def _flat(batch, column):
-    lists = batch.column(column)
-    return lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
-
-
-def _parts(batches, size: int = 500):
-    for b in batches:
-        for at in range(0, b.num_rows, size):
-            yield b.slice(at, size)
+_DOCS_AT_ONCE = 64
 
 
 def labelled_subjects(labels: DataFrame, areas: DataFrame, doc_col: str, subject_col: str, name_col: str) -> tuple[list[str], dict[int, int]]:
@@ -65,227 +65,413 @@ def labelled_subjects(labels: DataFrame, areas: DataFrame, doc_col: str, subject
     return subjects, {d: b for d, b in each.orderBy(F.xxhash64("doc"), "doc").limit(MOST_LABELLED).collect()}
 
 
-def _counts(words: DataFrame, bits: dict[int, int], n: int) -> np.ndarray:
-    """Documents of each term: labelled ones by subject, a document's weight shared by its subjects, and in the last
-    column all documents; the last row is of documents."""
-    shared = words.sparkSession.sparkContext.broadcast(bits)  # at most MOST_LABELLED
-
-    def run(batches):
-        total = np.zeros((FEATURES + 1, n + 1))
-        known = shared.value
-        for b in batches:
-            ids = b.column(0).to_pylist()
-            w, size = _flat(b, 1)
-            cell = np.unique(np.repeat(np.arange(len(ids)), size) * FEATURES + (w & (FEATURES - 1)))
-            total[:FEATURES, n] += np.bincount(cell % FEATURES, minlength=FEATURES)
-            total[FEATURES, n] += len(ids)
-            has = np.array([[known.get(i, 0) >> k & 1 for k in range(n)] for i in ids], float).reshape(-1, n)
-            weight = has / np.maximum(has.sum(1, keepdims=True), 1)
-            cell = cell[has.any(1)[cell // FEATURES]]
-            for k in range(n):
-                total[:FEATURES, k] += np.bincount(cell % FEATURES, weight[cell // FEATURES, k], minlength=FEATURES)
-            total[FEATURES, :n] += weight.sum(0)
-        return total
-
-    return summed(words, run, (FEATURES + 1, n + 1), np.float32).astype(np.float64)
-
-
-def _sure(by: np.ndarray, n: np.ndarray, base: np.ndarray, share: np.ndarray, least: float) -> np.ndarray:
-    """Whether terms of n documents, `by` of them of each subject, speak for one subject more than chance would."""
-    expected = n[:, None] * base
-    z = (by - expected) / np.sqrt(np.maximum(expected * (1 - base), 1e-9))
-    return ((z >= least) & (share >= SHARE)).any(1)
+# -------------------------------------------------------------- clustering
 
 
 class Tree:
-    """A binary tree of splits: at each inner node two centres."""
+    """A binary tree of splits. A vector goes left where its product with a node's direction reaches the node's bound."""
 
     def __init__(self):
-        self.children: dict[int, tuple[int, int, np.ndarray, np.ndarray]] = {}
-        self.nodes = 1
-
-    def leaf(self, x: np.ndarray) -> np.ndarray:
+        self.left, self.right = [-1], [-1]
+        self.direction, self.bound = [np.zeros(DIMENSIONS, np.float32)], [0.0]
+
+    def split(self, node: int, direction: np.ndarray, bound: float) -> tuple[int, int]:
+        new = len(self.left)
+        self.left[node], self.right[node], self.direction[node], self.bound[node] = new, new + 1, direction.astype(np.float32), float(bound)
+        for _ in range(2):
+            self.left.append(-1), self.right.append(-1), self.direction.append(np.zeros(DIMENSIONS, np.float32)), self.bound.append(0.0)
+        return new, new + 1
+
+    def node(self, x: np.ndarray) -> np.ndarray:
+        left, right, direction, bound = (np.array(a) for a in (self.left, self.right, self.direction, self.bound))
         out = np.zeros(len(x), np.int64)
-        for node in sorted(self.children):
-            left, right, a, b = self.children[node]
-            at = np.flatnonzero(out == node)
-            if len(at):
-                out[at] = np.where(x[at] @ a >= x[at] @ b, left, right)
+        open_ = np.flatnonzero(left[out] >= 0)
+        while len(open_):
+            at = out[open_]
+            side = np.einsum("ij,ij->i", x[open_], direction[at]) >= bound[at]
+            out[open_] = np.where(side, left[at], right[at])
+            open_ = open_[left[out[open_]] >= 0]
         return out
 
+    def leaves(self) -> np.ndarray:
+        """For each node its place among the leaves, -1 for inner nodes."""
+        leaf = np.array(self.left) < 0
+        return np.where(leaf, np.cumsum(leaf) - 1, -1)
 
-def _read(b, column: int = 1) -> np.ndarray:
+
+def _read(b, column: int) -> np.ndarray:
     return np.frombuffer(b"".join(b.column(column).to_pylist()), np.float16).reshape(-1, DIMENSIONS).astype(np.float32)
 
 
-def cluster(vectors: DataFrame, levels: int = LEVELS, rounds: int = ROUNDS, least: int = LEAST_LEAF, seed: int = 9) -> Tree:
-    """Bisecting k-means with cosine, over all vectors; a level's leaves are split in the same passes. Leaves of fewer
-    than twice `least` documents stay. Documents without terms (zero vectors) stay out of the centres."""
-    tree, rng = Tree(), np.random.default_rng(seed)
-    direction = rng.standard_normal(DIMENSIONS).astype(np.float32)
-    pending = {0: (direction, -direction)}
-    for _ in range(levels):
-        sizes: dict = {}
-        for _ in range(rounds):
-            order = sorted(pending)
-            centres = {k: pending[k] for k in order}
-
-            def run(batches, order=order, centres=centres):
-                total = np.zeros((len(order), 2, DIMENSIONS + 1))
-                for b in batches:
-                    if not b.num_rows:
+def _principal(count: float, total: np.ndarray, moments: np.ndarray) -> tuple[np.ndarray, float]:
+    mean = total / count
+    direction = np.linalg.eigh(moments / count - np.outer(mean, mean))[1][:, -1]
+    direction *= np.sign(direction[np.abs(direction).argmax()])
+    return direction, direction @ mean
+
+
+def cluster(vectors: DataFrame, levels: int = LEVELS, rounds: int = ROUNDS, least: int = LEAST_LEAF) -> Tree:
+    """Bisecting k-means with cosine over all vectors (vector): a leaf is first cut across its principal direction, then between the
+    centres of its parts, and a level's leaves are split in the same passes. Leaves of fewer than twice `least`
+    documents stay, as do those of which a part would be empty. Documents without words (zero vectors) stay out."""
+    tree = Tree()
+
+    def sums(rules: dict, full: bool):
+        """Of both sides of each node: numbers, sums, and with `full` second moments."""
+        order = sorted(rules)
+        width = 1 + DIMENSIONS + (DIMENSIONS * DIMENSIONS if full else 0)
+
+        def run(batches):
+            out = np.zeros((len(order), 2, width), np.float32)
+            place = {node: k for k, node in enumerate(order)}
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                x = _read(b, 0)
+                x = x[np.abs(x).sum(1) > 0]
+                node = tree.node(x)
+                by = np.argsort(node, kind="stable")
+                x, node = x[by], node[by]
+                at = runs(node)
+                for i, j in zip(at, np.r_[at[1:], len(node)]):
+                    k = place.get(int(node[i]))
+                    if k is None:
                         continue
-                    x = _read(b)
-                    x = x[np.abs(x).sum(1) > 0]
-                    leaf = tree.leaf(x)
-                    for k, node in enumerate(order):
-                        own = x[leaf == node]
-                        side = (own @ centres[node][0] < own @ centres[node][1]).astype(int)
-                        for s in (0, 1):
-                            total[k, s, :DIMENSIONS] += own[side == s].sum(0)
-                            total[k, s, DIMENSIONS] += (side == s).sum()
-                return total
-
-            sums = summed(vectors, run, (len(order), 2, DIMENSIONS + 1))
-            for k, node in enumerate(order):
-                c = sums[k, :, :DIMENSIONS]
-                norm = np.linalg.norm(c, axis=1, keepdims=True)
-                if (sums[k, :, DIMENSIONS] > 0).all() and (norm > 0).all():
-                    pending[node] = tuple((c / norm).astype(np.float32))
-                sizes[node] = sums[k, :, DIMENSIONS]
+                    direction, bound = rules[order[k]]
+                    left = x[i:j] @ direction >= bound
+                    for side, own in ((0, x[i:j][left]), (1, x[i:j][~left])):
+                        out[k, side, 0] += len(own)
+                        out[k, side, 1 : 1 + DIMENSIONS] += own.sum(0)
+                        if full:
+                            out[k, side, 1 + DIMENSIONS :] += (own.T @ own).ravel()
+            return out
+
+        got = summed(vectors, run, (len(order), 2, width))
+        return {node: [(s[0], s[1 : 1 + DIMENSIONS], s[1 + DIMENSIONS :].reshape(DIMENSIONS, DIMENSIONS) if full else None) for s in got[k]] for k, node in enumerate(order)}
+
+    whole = sums({0: (np.zeros(DIMENSIONS, np.float32), 0.0)}, True)[0][0]
+    pending = {0: _principal(*whole)} if whole[0] >= 2 * least else {}
+    for level in range(levels):
+        if not pending:
+            break
+        for r in range(rounds):
+            last = r == rounds - 1
+            got = sums({n: (d.astype(np.float32), b) for n, (d, b) in pending.items()}, last and level < levels - 1)
+            if not last:
+                for node, ((n0, a, _), (n1, b, _)) in got.items():
+                    if n0 and n1 and np.linalg.norm(a) and np.linalg.norm(b):
+                        pending[node] = a / np.linalg.norm(a) - b / np.linalg.norm(b), 0.0
         following: dict = {}
-        for node, (a, b) in pending.items():
-            if sizes[node].min() < 1 or sizes[node].sum() < 2 * least:
+        for node, sides in got.items():
+            if min(s[0] for s in sides) < 1:
                 continue
-            left, right = tree.nodes, tree.nodes + 1
-            tree.nodes += 2
-            tree.children[node] = (left, right, a, b)
-            for child, centre in ((left, a), (right, b)):
-                d = rng.standard_normal(DIMENSIONS).astype(np.float32)
-                d -= (d @ centre) * centre
-                d /= np.linalg.norm(d)
-                following[child] = (centre + 0.1 * d, centre - 0.1 * d)
+            for child, (n, total, moments) in zip(tree.split(node, *pending[node]), sides):
+                if n >= 2 * least and moments is not None:
+                    following[child] = _principal(n, total, moments)
         pending = following
-        if not pending:
-            break
     return tree
 
 
-def _leaf_counts(rows: DataFrame, tree: Tree) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(leaf, term, documents), for all terms of each leaf."""
+def _with_vectors(words: DataFrame, seen: np.ndarray, basis: np.ndarray) -> DataFrame:
+    """words with the vector of each document."""
+    shared = words.sparkSession.sparkContext.broadcast((latent.weights(seen).astype(np.float32), basis.astype(np.float32)))  # SPACE x DIMENSIONS numbers
 
     def run(batches):
-        held, count = np.empty(0, np.int64), np.empty(0, np.int64)
+        idf, basis = shared.value
         for b in batches:
-            for p in _parts([b]):
-                w, size = _flat(p, 0)
-                cell = np.unique(np.repeat(np.arange(p.num_rows), size) * FEATURES + (w & (FEATURES - 1)))
-                cell = tree.leaf(_read(p, 1))[cell // FEATURES] * FEATURES + cell % FEATURES
-                both, at = np.unique(np.concatenate((held, cell)), return_inverse=True)
-                count = np.bincount(at, np.concatenate((count, np.ones(len(cell), np.int64))), minlength=len(both)).astype(np.int64)
-                held = both
-        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(count)], names=["cell", "n"])
+            for at in range(0, b.num_rows, 500):
+                p = b.slice(at, 500)
+                text, feature, tf, texts = cells(*flat(p, 1), SPACE)
+                out = np.zeros((texts, DIMENSIONS), np.float32)
+                latent.placed(out, text, feature, tf, idf, basis, texts)
+                out /= np.maximum(np.linalg.norm(out, axis=1), 1e-9)[:, None]
+                yield pa.RecordBatch.from_arrays([*p.columns, pa.array([r.tobytes() for r in out.astype(np.float16)], pa.binary())], names=[*p.schema.names, "vector"])
+
+    return words.mapInArrow(run, "id long, words array<int>, sizes array<int>, vector binary")
 
-    got = rows.select("words", "vector").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most 2^LEVELS times FEATURES rows
-    cell, n = (got.column(k).to_numpy() for k in (0, 1))
-    return cell // FEATURES, cell % FEATURES, n
 
+# ------------------------------------------------------------------- terms
 
-class Model:
-    """Log odds of each discriminative term for each subject, and the log odds of each leaf's mixture."""
-
-    def __init__(self, subjects: list[str], counts: np.ndarray, tree: Tree, leaves):
-        self.subjects, self.tree = subjects, tree
-        n = len(subjects)
-        docs = counts[-1, :n]
-        self.base, self.by, self.leaves = (docs + 1) / (docs + 1).sum(), counts[:-1, :n], leaves
-        said = self.by.sum(1)
-        self.labelled = (said >= 2) & _sure(self.by, said, self.base, self.by / np.maximum(said, 1e-9)[:, None], SURE)
-        self.leaf_odds = np.zeros((tree.nodes, n), np.float32)
-        self._learn(np.ones((FEATURES, n)), self.labelled)
-
-    def __len__(self) -> int:
-        return len(self.odds) - 1
-
-    def _learn(self, lift: np.ndarray, use: np.ndarray) -> None:
-        features = np.flatnonzero(use)
-        by = self.by[features]
-        odds = np.log((by / self.base + PRIOR * lift[features]) / (by.sum(1, keepdims=True) + PRIOR))
-        self.odds = np.vstack([odds, np.zeros(len(self.subjects))]).astype(np.float32)  # the last row is of all other words
+_KEY = "key long, n double"
+
+
+def _emit(keys: list, weights: list):
+    key, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.bincount(at, np.concatenate(weights), minlength=len(key)))], names=["key", "n"])
+
+
+def _added(df: DataFrame) -> DataFrame:
+    return df.groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def _arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    got = df.toArrow()
+    return got.column(0).to_numpy(), got.column(1).to_numpy()
+
+
+def leaf_terms(rows: DataFrame, tree: Tree, work: Workspace) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The discriminative terms, the documents of each that each leaf has (terms x leaves), and the documents of the leaves.
+
+    What comes to the driver is at most FEATURES x 2^LEVELS numbers, whatever the corpus; terms without a leaf of their
+    own are left out where the sums are.
+    """
+    leaves = tree.leaves()
+    k = int(leaves.max()) + 1
+
+    def count(batches):
+        keys, size = [], 0
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                p = b.slice(at, 500)
+                leaf = leaves[tree.node(_read(p, 1))]
+                text, feature, _, texts = cells(*flat(p, 0), FEATURES)
+                keys += [feature * k + leaf[text], FEATURES * k + leaf]  # the last feature is of the documents
+                size += len(text) + texts
+                if size > 1 << 21:
+                    yield _emit(keys, [np.ones(len(x)) for x in keys])
+                    keys, size = [], 0
+        if keys:
+            yield _emit(keys, [np.ones(len(x)) for x in keys])
+
+    table = work.keep(_added(rows.select("words", "vector").mapInArrow(count, _KEY)), "leaf_terms")
+    key, n = _arrays(table.where(F.col("key") >= FEATURES * k))
+    docs = np.zeros(k)
+    docs[key - FEATURES * k] = n
+    part = np.maximum(docs, 1e-9) / max(docs.sum(), 1)
+    by_term = table.where(F.col("key") < FEATURES * k).select(F.floor(F.col("key") / k).alias("term"), (F.col("key") % k).cast("int").alias("leaf"), "n")
+    parts = table.sparkSession.createDataFrame([(i, float(p)) for i, p in enumerate(part)], "leaf int, part double")
+    seen = by_term.groupBy("term").agg(F.sum("n").alias("seen")).where(F.col("seen") >= LEAST_DOCS)
+    expected = F.col("seen") * F.col("part")
+    off = (F.col("n") - expected) / F.sqrt(expected * (1 - F.col("part")) + F.lit(1e-9))
+    # Of one leaf, or of all together: leaves that hold none of a term's documents add what is expected of them.
+    together = F.sum(off * off) + F.first("seen") * (1 - F.sum("part")) - k
+    sure = F.greatest(F.max(off), together / math.sqrt(2 * k))
+    found = by_term.join(seen, "term").join(F.broadcast(parts), "leaf").groupBy("term").agg(sure.alias("sure")).where(F.col("sure") >= SURE).select("term")  # parts: 2^LEVELS rows
+    got = by_term.join(found, "term", "left_semi").toArrow()
+    term, leaf, n = (got.column(c).to_numpy() for c in (0, 1, 2))
+    terms, at = np.unique(term, return_inverse=True)
+    counts = np.zeros((len(terms), k), np.float32)
+    counts[at, leaf] = n
+    return terms, counts, docs
+
+
+def _odds(counts: np.ndarray, whole: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """Log odds of each term in each group, against all groups: counts (terms x groups), the groups' sizes, all terms' rates."""
+    return np.log((counts + SMOOTH * base[:, None]) / (whole[None] + SMOOTH) / base[:, None]).astype(np.float32)
+
+
+def _posterior(score: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    p = score + prior
+    p -= p.max(1, keepdims=True)
+    np.exp(p, out=p)
+    p /= p.sum(1, keepdims=True)
+    return p
+
+
+class _Sentences:
+    """The sentences of some documents and the discriminative terms that they hold."""
+
+    def __init__(self, b, place: np.ndarray):
+        words, _ = flat(b, 1)
+        sizes, per = flat(b, 2)
+        self.count, self.docs = len(sizes), b.num_rows
+        self.doc = np.repeat(np.arange(b.num_rows), per)
+        term = place[words & (FEATURES - 1)]
+        at = np.flatnonzero(term >= 0)
+        self.term, self.sentence = term[at], np.repeat(np.arange(len(sizes)), sizes)[at]
+        self.starts, self.doc_starts = runs(self.sentence), runs(self.doc)
+
+    def scores(self, odds: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.count, odds.shape[1]), np.float32)
+        if len(self.term):
+            out[self.sentence[self.starts]] = np.add.reduceat(odds[self.term], self.starts, axis=0)
+        return out
+
+    def known(self, use: np.ndarray | None = None) -> np.ndarray:
+        out = np.zeros(self.count, bool)
+        out[self.sentence if use is None else self.sentence[use[self.term]]] = True
+        return out
+
+    def of_docs(self, p: np.ndarray, groups: int) -> np.ndarray:
+        out = np.zeros((self.docs, groups), np.float32)
+        if self.count:
+            out[self.doc[self.doc_starts]] = np.add.reduceat(p, self.doc_starts, axis=0)
+        return out
+
+    def prior(self, of_docs: np.ndarray, base: np.ndarray, weight: float) -> np.ndarray:
+        return np.log((of_docs + weight * base) / (of_docs.sum(1, keepdims=True) + weight) + 1e-12)[self.doc]
+
+
+def _pieces(batches):
+    for b in batches:
+        for at in range(0, b.num_rows, _DOCS_AT_ONCE):
+            yield b.slice(at, _DOCS_AT_ONCE)
+
+
+class Leaves:
+    """The discriminative terms' log odds for each leaf, and the leaves' parts of all sentences."""
+
+    def __init__(self, terms: np.ndarray, counts: np.ndarray, sizes: np.ndarray):
+        self.terms, self.size = terms, len(sizes)
         self.place = np.full(FEATURES, -1, np.int32)
-        self.place[features] = np.arange(len(features))
-
-    def mix(self, sentences: np.ndarray) -> None:
-        """Takes the leaves' mixtures from the sentences of each node and subject (the last is none), and from these the
-        subjects of all terms."""
-        n = len(self.subjects)
-        whole = sentences.sum(0) + 1e-3
-        whole /= whole.sum()
-        mixture = (sentences + SMOOTH * whole) / (sentences.sum(1, keepdims=True) + SMOOTH)
-        leaf, term, docs = self.leaves
-        seen = np.bincount(term, docs, minlength=FEATURES)
-        by = np.stack([np.bincount(term, docs * mixture[leaf, k], minlength=FEATURES) for k in range(n + 1)], 1)
-        base = by.sum(0) / max(by.sum(), 1e-9)
-        # A term of few documents is held to what all terms have.
-        lift = (by[:, :n] + base[:n]) / (seen[:, None] + 1) / np.maximum(base[:n], 1e-9)
-        share = lift * self.base
-        share /= share.sum(1, keepdims=True)
-        unlabelled = (seen >= LEAST_DOCS) & _sure(by[:, :n], seen, base[:n], share, LEAF_SURE)
-        self._learn(lift, self.labelled | unlabelled)
-        self.leaf_odds = np.log(mixture[:, :n] / whole[:n]).astype(np.float32)
-
-
-def _sentences(b, model: Model, leaf_weight: float):
-    """For each sentence of a batch: its row, its leaf, and its subject, or how many subjects there are if it has none."""
-    w, _ = _flat(b, 1)
-    lengths, per = _flat(b, 2)
-    # Sentences that lost their marks are cut into pieces of the usual length; scraps are left out.
-    doc = np.repeat(np.arange(b.num_rows), per)
-    pieces = np.where(lengths > LONGEST, -(-lengths // USUAL), 1)
-    ends = np.cumsum(lengths)
-    first = np.repeat(ends - lengths, pieces)
-    step = np.arange(len(first)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    width = np.repeat(np.where(pieces > 1, USUAL, lengths), pieces)
-    start = first + step * width
-    long = np.minimum(np.repeat(ends, pieces), start + width) - start
-    owner = np.repeat(doc, pieces)
-    use = long >= SHORTEST
-    start, owner, end = start[use], owner[use], start[use] + long[use]
-    term = model.place[w & (FEATURES - 1)]
-    scores = model.odds[term]  # -1 is the row of all other words
-    total = np.concatenate((np.zeros((1, scores.shape[1])), np.cumsum(scores, axis=0, dtype=np.float64)))
-    known = np.concatenate(([0], np.cumsum(term >= 0)))
-    leaf = model.tree.leaf(_read(b, 3))[owner]
-    score = total[end] - total[start] + leaf_weight * model.leaf_odds[leaf]
-    best = score.argmax(1)
-    belongs = (known[end] > known[start]) & (score[np.arange(len(best)), best] >= LEAST_SCORE)
-    return owner, leaf, np.where(belongs, best, score.shape[1])
-
-
-def _leaf_sentences(rows: DataFrame, model: Model) -> np.ndarray:
-    """Sentences of each node and subject by their terms alone; the last column is of those of none."""
-    n = len(model.subjects) + 1
-    shape = (model.tree.nodes, n)
+        self.place[terms] = np.arange(len(terms))
+        self.learn(counts, sizes)
+
+    def learn(self, counts: np.ndarray, sizes: np.ndarray) -> None:
+        self.counts, self.sizes = counts, sizes
+        base = np.maximum(counts.sum(1), 1e-6) / max(sizes.sum(), 1)
+        self.odds = _odds(counts, sizes, base)
+        self.part = ((sizes + 1) / (sizes.sum() + self.size)).astype(np.float32)
+
+    def posterior(self, s: _Sentences) -> np.ndarray:
+        """Each sentence's leaf, by its terms and by the leaves that the terms of its document's sentences say."""
+        score, known = s.scores(self.odds), s.known()[:, None]
+        p = _posterior(score, np.log(self.part)) * known
+        return _posterior(score, s.prior(s.of_docs(p, self.size), self.part, LEAF_PRIOR)) * known
+
+    def placed(self, rows: DataFrame, labelled: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Counts of terms and of sentences by leaf, each sentence in its likeliest one, and (document, leaf, part) of the
+        labelled documents, whose places in `labelled` (ascending ids) stand for them."""
+        t, k = len(self.terms), self.size
+        shared = rows.sparkSession.sparkContext.broadcast((self, labelled))  # at most FEATURES x 2^LEVELS numbers and MOST_LABELLED ids
+
+        def run(batches):
+            model, ids = shared.value
+            keys, weights, size = [], [], 0
+            for b in _pieces(batches):
+                s = _Sentences(b, model.place)
+                if not s.count:
+                    continue
+                p = model.posterior(s)
+                best, known = p.argmax(1), s.known()
+                keys += [s.term.astype(np.int64) * k + best[s.sentence], t * k + best[known]]
+                weights += [np.ones(len(s.term)), np.ones(int(known.sum()))]
+                size += len(s.term)
+                if len(ids):
+                    mine = b.column(0).to_numpy()
+                    at = np.minimum(np.searchsorted(ids, mine), len(ids) - 1)
+                    has = np.flatnonzero(ids[at] == mine)
+                    if len(has):
+                        of = s.of_docs(p, k)[has]
+                        d, leaf = np.nonzero(of > 0.01)
+                        keys.append((t + 1 + at[has][d]) * k + leaf)
+                        weights.append(of[d, leaf].astype(float))
+                if size > 1 << 21:
+                    yield _emit(keys, weights)
+                    keys, weights, size = [], [], 0
+            if keys:
+                yield _emit(keys, weights)
+
+        key, n = _arrays(_added(rows.select("id", "words", "sizes").mapInArrow(run, _KEY)))
+        shared.destroy()
+        counts, sizes = np.zeros((t, k), np.float32), np.zeros(k)
+        row, leaf = key // k, key % k
+        at = row < t
+        counts[row[at], leaf[at]] = n[at]
+        sizes[leaf[row == t]] = n[row == t]
+        at = row > t
+        return counts, sizes, row[at] - t - 1, leaf[at], n[at]
+
+
+def mixtures(doc: np.ndarray, leaf: np.ndarray, part: np.ndarray, has: np.ndarray, leaves: int, rounds: int = 15) -> tuple[np.ndarray, np.ndarray]:
+    """leaves x (subjects and none), and the labelled sentences of each leaf. has: for each labelled document and subject
+    whether it is named.
+
+    A labelled document's sentences in a leaf are shared out over its subjects by the leaf's mixture, in turns. What a
+    mixture has of a subject beyond what all labels have is the leaf's; the rest is of none.
+    """
+    has = has.astype(float)
+    base = np.maximum(has.sum(0), 1e-9) / max(has.sum(), 1e-9)
+    mix = np.tile(base, (leaves, 1))
+    for _ in range(rounds):
+        w = has[doc] * mix[leaf]
+        w *= (part / np.maximum(w.sum(1), 1e-12))[:, None]
+        count = np.stack([np.bincount(leaf, w[:, s], minlength=leaves) for s in range(has.shape[1])], 1)
+        mix = (count + base) / (count.sum(1, keepdims=True) + 1)
+    own = np.maximum(0, (mix - base) / np.maximum(1 - base, 1e-9))
+    return np.hstack([own, np.maximum(0, 1 - own.sum(1, keepdims=True))]), count.sum(1)
+
+
+class Model:
+    """Subjects of leaves and, through them, of terms."""
+
+    def __init__(self, subjects: list[str], leaves: Leaves, mixture: np.ndarray, labelled: np.ndarray):
+        self.subjects, self.leaves, self.mixture = subjects, leaves, mixture.astype(np.float32)
+        self.told = (labelled / (labelled + 1)).astype(np.float32)  # how far labels say what a leaf is
+        self.learn(leaves.counts.astype(float) @ (mixture * self.told[:, None]), leaves.sizes @ mixture)
+
+    def learn(self, counts: np.ndarray, sizes: np.ndarray) -> None:
+        """From counts of terms and sentences by subject (the last is none). Terms spread over subjects say nothing."""
+        n = counts.sum(1)
+        base = sizes / max(sizes.sum(), 1e-9)
+        share = counts / np.maximum(n, 1e-9)[:, None]
+        sure = (counts - n[:, None] * base) / np.sqrt(np.maximum(n[:, None] * base * (1 - base), 1e-9))
+        self.use = ((share >= SHARE) & (sure >= SUBJECT_SURE)).any(1)
+        self.odds = _odds(counts, sizes, np.maximum(n, 1e-6) / max(sizes.sum(), 1e-9)) * self.use[:, None].astype(np.float32)
+        self.part = ((sizes + 1e-3) / (sizes + 1e-3).sum()).astype(np.float32)
+
+    def posterior(self, s: _Sentences, learning: bool = False) -> np.ndarray:
+        """Each sentence's subject, the last being none: by its terms and by the mixture of its document's leaves, and
+        once more by its terms and by what that gives its document's sentences.
+
+        A sentence of which no term speaks for a subject is of none. While learning, it is of its leaf's subjects, or, as
+        far as no label says what its leaf is, of those of the company it keeps in its document.
+        """
+        n, none = len(self.part), np.eye(1, len(self.part), len(self.part) - 1, dtype=np.float32)
+        leaf, score, silent = self.leaves.posterior(s), s.scores(self.odds), ~s.known(self.use)
+        p = mixed = leaf @ self.mixture
+        mixed[~s.known()] = none
+        for _ in range(2):
+            p = _posterior(score, s.prior(s.of_docs(p, n), self.part, SUBJECT_PRIOR))
+            p[silent] = none
+        if learning and silent.any():
+            company = np.exp(s.prior(s.of_docs(p * ~silent[:, None], n), self.part, SUBJECT_PRIOR)[silent])
+            told = (leaf[silent] @ self.told)[:, None]
+            p[silent] = np.where(s.known()[silent, None], told * mixed[silent] + (1 - told) * company, none)
+        return p
+
+
+def _by_subject(rows: DataFrame, model: Model, bits: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of terms and of sentences by subject; a labelled document's sentences go to its subjects or to none but for UNNAMED."""
+    t, n = len(model.leaves.terms), len(model.part)
+    shared = rows.sparkSession.sparkContext.broadcast((model, bits))  # at most FEATURES x (2^LEVELS + subjects) numbers and MOST_LABELLED labels
 
     def run(batches):
-        total = np.zeros(shape)
-        for b in _parts(batches):
-            _, leaf, subject = _sentences(b, model, 0.0)
-            total += np.bincount(leaf * n + subject, minlength=total.size).reshape(shape)
+        model, bits = shared.value
+        total = np.zeros((t + 1, n))
+        for b in _pieces(batches):
+            s = _Sentences(b, model.leaves.place)
+            if not s.count:
+                continue
+            p = model.posterior(s, learning=True)
+            said = [bits.get(i, 0) for i in b.column(0).to_pylist()]
+            if any(said):
+                allowed = np.array([[not d or d >> k & 1 for k in range(n - 1)] + [True] for d in said], np.float32)[s.doc]
+                p *= allowed * (1 - UNNAMED) + UNNAMED
+                p /= p.sum(1, keepdims=True)
+                p[(np.array(said) != 0)[s.doc] & ~s.known(model.use)] *= LABELLED
+            for k in range(n):
+                total[:t, k] += np.bincount(s.term, p[s.sentence, k], minlength=t)
+            total[t] += p.sum(0)
         return total
 
-    return summed(rows.select("id", "words", "sizes", "vector"), run, shape)
+    out = summed(rows.select("id", "words", "sizes"), run, (t + 1, n), np.float32).astype(float)
+    shared.destroy()
+    return out[:t], out[t]
 
 
-def _assign(model: Model, least: float):
+def _assign(shared, least: float):
     def run(batches):
-        for b in _parts(batches):
-            owner, _, subject = _sentences(b, model, LEAF)
-            n = len(model.subjects)
-            count = np.bincount(owner * (n + 1) + subject, minlength=b.num_rows * (n + 1)).reshape(-1, n + 1)[:, :n]
-            sentences = np.bincount(owner, minlength=b.num_rows)
-            d, s = np.nonzero((count >= least * sentences[:, None]) & (count > 0))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(d)), pa.array([model.subjects[k] for k in s], pa.string()), pa.array(count[d, s] / sentences[d])], names=["doc_id", "subject", "part"])
+        model = shared.value
+        n = len(model.part)
+        for b in _pieces(batches):
+            s = _Sentences(b, model.leaves.place)
+            if not s.count:
+                continue
+            count = np.bincount(s.doc * n + model.posterior(s).argmax(1), minlength=s.docs * n).reshape(-1, n)
+            sentences = count.sum(1)
+            d, k = np.nonzero((count[:, :-1] >= least * sentences[:, None]) & (count[:, :-1] > 0))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(d)), pa.array([model.subjects[j] for j in k], pa.string()), pa.array(count[d, k] / sentences[d])], names=["doc_id", "subject", "part"])
 
     return run
 
@@ -296,44 +482,35 @@ class Subjects:
     def __init__(self, documents: DataFrame, labels: DataFrame, areas: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_doc: str = "doc_id", label_subject: str = "subject", area_subject: str = "subject"):
         self.work = Workspace(documents.sparkSession, "subjects")
         self.subjects, bits = labelled_subjects(labels, areas, label_doc, label_subject, area_subject)
-        words = self.work.keep(words_of(documents, id_col, text_col, sentences=True), "words")
-        counts = _counts(words, bits, max(1, len(self.subjects)))
-        self.rows = self.work.keep(_with_vectors(words, counts[:, -1]), "vectors")
-        tree = cluster(self.rows.select("id", "vector"))
-        self.model = Model(self.subjects, counts[:, : max(1, len(self.subjects))], tree, _leaf_counts(self.rows, tree)) if self.subjects else None
-        for _ in range(MIXTURES if self.model else 0):
-            self.model.mix(_leaf_sentences(self.rows, self.model))
+        self.model = self.rows = None
+        if not self.subjects or not bits:
+            return
+        words = self.work.keep(words_of(documents, id_col, text_col, by_sentence=True), "words")
+        seen = latent.frequencies(words.select("words"), SPACE)
+        basis = latent.fit(words.select("words"), seen, DIMENSIONS)
+        self.rows = self.work.keep(_with_vectors(words, seen, basis), "vectors")
+        self.tree = cluster(self.rows.select("vector"))
+        terms, counts, sizes = leaf_terms(self.rows, self.tree, self.work)
+        if not len(terms):
+            return
+        leaves, labelled = Leaves(terms, counts, sizes), np.array(sorted(bits), np.int64)
+        for k in range(LEAF_PASSES):
+            last = k == LEAF_PASSES - 1
+            counts, sizes, doc, leaf, part = leaves.placed(self.rows, labelled if last else labelled[:0])
+            leaves.learn(counts, sizes)
+        has = np.array([[bits[i] >> k & 1 for k in range(len(self.subjects))] for i in labelled.tolist()])
+        self.model = Model(self.subjects, leaves, *mixtures(doc, leaf, part, has, leaves.size))
+        for _ in range(SUBJECT_PASSES - 1):
+            self.model.learn(*_by_subject(self.rows, self.model, bits))
 
     def assign(self, least: float = LEAST_PART) -> DataFrame:
         """(doc_id, subject, part): subjects of at least that part of a document's sentences.
 
-        Null ids and texts, and texts without a sentence of six words, get no row; a row that comes twice counts once;
-        without labels or subjects nothing is assigned. Where a sentence's terms speak for several subjects alike, the
-        mixture of the document's leaf decides.
+        Null ids and texts, and texts without a sentence, get no row; a row that comes twice counts once; without labels,
+        subjects or discriminative terms nothing is assigned. See words.sentences for what is a sentence.
         """
-        if not self.model or not len(self.model):
-            return self.rows.sparkSession.createDataFrame([], "doc_id long, subject string, part double")
-        found = self.rows.select("id", "words", "sizes", "vector").mapInArrow(_assign(self.model, least), "doc_id long, subject string, part double")
+        if not self.model:
+            return self.work.spark.createDataFrame([], "doc_id long, subject string, part double")
+        shared = self.work.spark.sparkContext.broadcast(self.model)  # at most FEATURES x (2^LEVELS + subjects) numbers
+        found = self.rows.select("id", "words", "sizes").mapInArrow(_assign(shared, least), "doc_id long, subject string, part double")
         return found.groupBy("doc_id", "subject").agg(F.max("part").alias("part"))
-
-
-def _with_vectors(words: DataFrame, docs: np.ndarray) -> DataFrame:
-    """words with the vector of each document: all its words by TF-IDF, projected. docs: documents of each term, and of all.
-    Terms of one document bring nothing together and are left out."""
-    idf = np.where(docs[:-1] >= 2, np.log((docs[-1] + 1) / (docs[:-1] + 1)), 0).astype(np.float32)
-    shared = words.sparkSession.sparkContext.broadcast(idf)  # FEATURES numbers
-
-    def run(batches):
-        project = np.random.default_rng(5).choice(np.array([-1, 1], np.int8), (FEATURES, DIMENSIONS))
-        for b in _parts(batches):
-            w, n = _flat(b, 1)
-            cell, tf = np.unique(np.repeat(np.arange(b.num_rows), n) * FEATURES + (w & (FEATURES - 1)), return_counts=True)
-            d, t = cell // FEATURES, cell % FEATURES
-            out = np.zeros((b.num_rows, DIMENSIONS), np.float32)
-            if len(cell):
-                starts = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
-                out[d[starts]] = np.add.reduceat(project[t] * (np.sqrt(tf).astype(np.float32) * shared.value[t])[:, None], starts, axis=0)
-            out /= np.maximum(np.linalg.norm(out, axis=1), 1e-9)[:, None]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([r.tobytes() for r in out.astype(np.float16)], pa.binary())], names=[*b.schema.names, "vector"])
-
-    return words.mapInArrow(run, "id long, words array<int>, sizes array<int>, vector binary")

@@ -52,24 +52,68 @@ def _lists(counts: np.ndarray, values: np.ndarray, kind) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(values, kind))
 
 
-def words_of(df: DataFrame, id_col: str, text_col: str, sentences: bool = False) -> DataFrame:
-    """(id, words) or (id, words, sizes): hashed words of the whole canonical text; words of each sentence that has any."""
+#: Lines that are no sentences by their form: headings, prompts of a shell, and what brackets hold whole.
+_NO_PROSE = re.compile(r"#|\$ |\[.*\]$|\{.*\}$")
+_FENCE = "```"
+_MARKED = re.compile(r"[.!?…。][\"»”’')\]_*]*$")
+
+
+def sentences(plain: str) -> list[str]:
+    """The sentences of a text in plain form. Headings, fenced code, shell lines and bracketed lines are none, by their
+    form; nothing else is left out, whatever its length."""
+    out, fenced = [], False
+    for line in re.split(r"[\r\n]+", plain):
+        line = line.strip()
+        if line.startswith(_FENCE):
+            fenced = not fenced
+        elif line and not fenced and not _NO_PROSE.match(line):
+            out += [s for s in SENTENCE_END.split(line) if s]
+    return out
+
+
+def sentence_words(text: list[str], counts: list[int]) -> list[int]:
+    """Words of each sentence of a text, given its pieces' words. A piece without an end mark that is over twice as long
+    as the middle one of the text's marked sentences has lost its marks: it counts as so many sentences as it is
+    longer, in even parts."""
+    marked = sorted(n for s, n in zip(text, counts) if n and _MARKED.search(s))
+    if not marked:
+        return [n for n in counts if n]
+    usual, out = marked[len(marked) // 2], []
+    for s, n in zip(text, counts):
+        if n > 2 * usual and not _MARKED.search(s):
+            k = round(n / usual)
+            out += [n * (i + 1) // k - n * i // k for i in range(k)]
+        elif n:
+            out.append(n)
+    return out
+
+
+def flat(batch, column: int) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a column of lists, end to end, and their numbers."""
+    lists = batch.column(column)
+    return lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+
+
+def words_of(df: DataFrame, id_col: str, text_col: str, by_sentence: bool = False) -> DataFrame:
+    """(id, words): hashed words of the whole canonical text. By sentence, (id, words, sizes): the words of its sentences,
+    and the numbers of words of each that has any."""
 
     def run(batches):
         for b in chunks(batches):
             plain = plain_batch(b.column(1).to_pylist())
-            if not sentences:
+            if not by_sentence:
                 h, n = word_hashes(canonical_batch(plain))
                 yield pa.RecordBatch.from_arrays([b.column(0), _lists(n, h, pa.int32())], names=["id", "words"])
                 continue
-            parts = [[s for s in SENTENCE_END.split(p) if s] for p in plain]
-            h, n = word_hashes(canonical_batch([s for p in parts for s in p]))
-            owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-            words, full = np.bincount(owner, n, minlength=len(parts)).astype(np.int64), n > 0
-            yield pa.RecordBatch.from_arrays([b.column(0), _lists(words, h, pa.int32()), _lists(np.bincount(owner[full], minlength=len(parts)), n[full], pa.int32())], names=["id", "words", "sizes"])
+            texts = [sentences(p) for p in plain]
+            h, n = word_hashes(canonical_batch([s for t in texts for s in t]))
+            ends = np.cumsum([0, *map(len, texts)])
+            sizes = [sentence_words(t, n[i:j].tolist()) for t, i, j in zip(texts, ends, ends[1:])]
+            words = [sum(s) for s in sizes]
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists(words, h, pa.int32()), _lists([len(s) for s in sizes], [n for s in sizes for n in s], pa.int32())], names=["id", "words", "sizes"])
 
     source = spread(named(df, id=id_col, text=text_col).where("id is not null and text is not null").withColumn("id", F.col("id").cast("long")))
-    return source.mapInArrow(run, "id long, words array<int>" + (", sizes array<int>" if sentences else ""))
+    return source.mapInArrow(run, "id long, words array<int>" + (", sizes array<int>" if by_sentence else ""))
 
 
 PIECES = 32

@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 
 from driftsieve.llm import links, queries as Q
@@ -13,8 +14,9 @@ from driftsieve.llm.leaks import common_subsequence, leaked_items
 from driftsieve.llm.mixing import Mixture, _tokenizer, permuted, token_counts
 from driftsieve.llm.near import near_groups
 from driftsieve.llm.seen import error_rates, seen_before
-from driftsieve.llm.subjects import Subjects
+from driftsieve.llm.subjects import Model, Subjects
 from driftsieve.llm.textforms import canonical, plain_form, record_key
+from driftsieve.llm.words import sentence_words, sentences
 from driftsieve.llm.visual import plain_texts, same_looking_pairs
 
 DATA = "/root/testdata/sf0.001"
@@ -320,6 +322,28 @@ def test_p8_on_made_texts(spark):
     found = got(Subjects(d, lab, areas).assign().select("doc_id", "subject"))
     assert len(found & want) >= 0.99 * len(want) and len(found - want) <= 0.01 * len(want)
     assert got(Subjects(d, lab.limit(0), areas).assign()) == set() == got(Subjects(d.limit(0), lab, areas).assign())
+    assert got(Subjects(d, lab, areas.limit(0)).assign()) == set()
+
+
+def test_p8_needs_its_leaves(spark):
+    """Without the leaves' mixtures, the terms' subjects and the documents' fall away."""
+    sf = "/root/testdata/sf0.01"
+    t = lambda n: spark.read.parquet(f"{sf}/{n}.parquet")
+    s = Subjects(t("documents"), t("subject_labels"), t("subject_areas"))
+    with_leaves = got(s.assign().select("doc_id", "subject"))
+    labels = {(r["doc_id"], r["subject"].strip().lower()) for r in t("subject_labels").where("subject is not null").collect()}
+    assert len(labels & with_leaves) >= 0.8 * len(labels)  # 0.92 are right; of some languages and subjects there are too few to name a leaf
+    flat = s.model.mixture.mean(0, keepdims=True).repeat(len(s.model.mixture), 0)
+    s.model = Model(s.subjects, s.model.leaves, flat, np.ones(len(flat)))
+    assert len(labels & got(s.assign().select("doc_id", "subject"))) < 0.2 * len(labels)
+
+
+def test_sentences():
+    text = "# A heading\nOne is here. Two is here! A third? \n```\nx = 1.\n```\n$ run it.\n[part 3 / row 4]\nYes.\n" + "no marks at all here but many words " * 3
+    parts = sentences(text)
+    assert parts[:3] == ["One is here.", "Two is here!", "A third?"] and parts[3] == "Yes." and len(parts) == 5
+    assert sum(sentence_words(parts, [len(p.split()) for p in parts])) == sum(len(p.split()) for p in parts)
+    assert len(sentence_words(parts, [3, 3, 2, 1, 24])) == 4 + 8 and sentence_words(["no mark"], [2]) == [2] and sentence_words([], []) == []
 
 
 def test_p8_words_without_labels(spark):
@@ -351,7 +375,7 @@ def test_p8_held_out_labels(spark):
     with_text = {r[0] for r in t("documents").where("length(text) > 0").select("doc_id").collect()}
     held = {h for h in held if h[0] in with_text}
     print("held-out labels found", len(held & found), "of", len(held))
-    assert len(held & found) >= 0.8 * len(held)
+    assert len(held & found) >= 0.9 * len(held)
 
 
 @pytest.fixture(scope="module")
