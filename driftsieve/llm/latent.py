@@ -63,7 +63,8 @@ def placed(values: np.ndarray, text: np.ndarray, feature: np.ndarray, tf: np.nda
 
 
 def fit(words: DataFrame, seen: np.ndarray, rank: int, spare: int = 8, passage: int | None = None, seed: int = 7) -> np.ndarray:
-    """The first right singular vectors, features x rank, of the texts' unit TF-IDF vectors; two passes.
+    """The first right singular vectors, features x rank, of the texts' unit TF-IDF vectors; two passes. Without spare
+    columns, a basis of the space that they span but for the last of them, in one pass.
 
     seen: frequencies(words). What moves and what the driver holds is features x (rank + spare), whatever the corpus.
     """
@@ -90,6 +91,8 @@ def fit(words: DataFrame, seen: np.ndarray, rank: int, spare: int = 8, passage:
 
     start = np.random.default_rng(seed).standard_normal((features, rank + spare))
     q, _ = np.linalg.qr(multiply(start))
+    if not spare:
+        return q
     again = multiply(q)
     _, turn = np.linalg.eigh((q.T @ again + again.T @ q) / 2)
     return (q @ turn)[:, ::-1][:, :rank]

@@ -34,13 +34,14 @@ MOST_LABELLED = 20_000
 #: Subjects, each a bit of a signed 64-bit number.
 MOST_SUBJECTS = 62
 #: The latent space; levels of splits, passes for each, and documents that a leaf has at least.
-DIMENSIONS, LEVELS, ROUNDS, LEAST_LEAF = 48, 8, 3, 8
-#: Discriminative terms of leaves: standard deviations over chance, in one leaf or over all; documents.
-SURE, LEAST_DOCS = 5.0, 5
+DIMENSIONS, LEVELS, ROUNDS, LEAST_LEAF = 56, 8, 2, 8
+#: Discriminative terms of leaves: standard deviations over chance, in one leaf or over all; documents; and how many times
+#: likelier than everywhere one leaf's documents hold them.
+SURE, LEAST_DOCS, LIFT = 5.0, 5, 2.0
 #: Discriminative terms of subjects: standard deviations over chance, and the part of its sentences that one subject has.
 SUBJECT_SURE, SHARE = 5.0, 0.45
-#: Times that the leaves' terms, and then the subjects' terms, are taken from the sentences.
-LEAF_PASSES, SUBJECT_PASSES = 2, 3
+#: Times that the subjects' terms are taken from the sentences.
+SUBJECT_PASSES = 4
 #: Sentences that a term's rates are smoothed by; those that a document's own mixture is smoothed by, in leaves and in subjects.
 SMOOTH, LEAF_PRIOR, SUBJECT_PRIOR = 2.0, 0.5, 1.0
 #: What is left for subjects that a labelled document's labels don't name, as labels are wrong or incomplete at times.
@@ -192,12 +193,12 @@ def _with_vectors(words: DataFrame, seen: np.ndarray, basis: np.ndarray) -> Data
 
 # ------------------------------------------------------------------- terms
 
-_KEY = "key long, n double"
+_KEY = "key long, n long"
 
 
-def _emit(keys: list, weights: list):
-    key, at = np.unique(np.concatenate(keys), return_inverse=True)
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.bincount(at, np.concatenate(weights), minlength=len(key)))], names=["key", "n"])
+def _emit(keys: list):
+    key, n = np.unique(np.concatenate(keys), return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
 
 
 def _added(df: DataFrame) -> DataFrame:
@@ -228,10 +229,10 @@ def leaf_terms(rows: DataFrame, tree: Tree, work: Workspace) -> tuple[np.ndarray
                 keys += [feature * k + leaf[text], FEATURES * k + leaf]  # the last feature is of the documents
                 size += len(text) + texts
                 if size > 1 << 21:
-                    yield _emit(keys, [np.ones(len(x)) for x in keys])
+                    yield _emit(keys)
                     keys, size = [], 0
         if keys:
-            yield _emit(keys, [np.ones(len(x)) for x in keys])
+            yield _emit(keys)
 
     table = work.keep(_added(rows.select("words", "vector").mapInArrow(count, _KEY)), "leaf_terms")
     key, n = _arrays(table.where(F.col("key") >= FEATURES * k))
@@ -246,7 +247,8 @@ def leaf_terms(rows: DataFrame, tree: Tree, work: Workspace) -> tuple[np.ndarray
     # Of one leaf, or of all together: leaves that hold none of a term's documents add what is expected of them.
     together = F.sum(off * off) + F.first("seen") * (1 - F.sum("part")) - k
     sure = F.greatest(F.max(off), together / math.sqrt(2 * k))
-    found = by_term.join(seen, "term").join(F.broadcast(parts), "leaf").groupBy("term").agg(sure.alias("sure")).where(F.col("sure") >= SURE).select("term")  # parts: 2^LEVELS rows
+    found = by_term.join(seen, "term").join(F.broadcast(parts), "leaf").groupBy("term").agg(sure.alias("sure"), F.max(F.col("n") / expected).alias("lift"))  # parts: 2^LEVELS rows
+    found = found.where((F.col("sure") >= SURE) & (F.col("lift") >= LIFT)).select("term")
     got = by_term.join(found, "term", "left_semi").toArrow()
     term, leaf, n = (got.column(c).to_numpy() for c in (0, 1, 2))
     terms, at = np.unique(term, return_inverse=True)
@@ -269,18 +271,20 @@ def _posterior(score: np.ndarray, prior: np.ndarray) -> np.ndarray:
 
 
 class _Sentences:
-    """The sentences of some documents and the discriminative terms that they hold."""
-
-    def __init__(self, b, place: np.ndarray):
-        words, _ = flat(b, 1)
-        sizes, per = flat(b, 2)
-        self.count, self.docs = len(sizes), b.num_rows
-        self.doc = np.repeat(np.arange(b.num_rows), per)
-        term = place[words & (FEATURES - 1)]
-        at = np.flatnonzero(term >= 0)
-        self.term, self.sentence = term[at], np.repeat(np.arange(len(sizes)), sizes)[at]
+    """The sentences of some documents and the discriminative terms that they hold: in one row a document, its terms' places end
+    to end, the numbers of them in each sentence, and each sentence's leaf once it is placed."""
+
+    def __init__(self, term: np.ndarray, hits: np.ndarray, per: np.ndarray, leaf: np.ndarray | None = None):
+        self.count, self.docs, self.leaf, self.term = len(hits), len(per), leaf, term
+        self.doc = np.repeat(np.arange(len(per)), per)
+        self.sentence = np.repeat(np.arange(len(hits)), hits)
         self.starts, self.doc_starts = runs(self.sentence), runs(self.doc)
 
+    @classmethod
+    def read(cls, b) -> "_Sentences":
+        hits, per = flat(b, 2)
+        return cls(flat(b, 1)[0], hits, per, flat(b, 3)[0])
+
     def scores(self, odds: np.ndarray) -> np.ndarray:
         out = np.zeros((self.count, odds.shape[1]), np.float32)
         if len(self.term):
@@ -302,75 +306,87 @@ class _Sentences:
         return np.log((of_docs + weight * base) / (of_docs.sum(1, keepdims=True) + weight) + 1e-12)[self.doc]
 
 
-def _pieces(batches):
+def _pieces(batches, size: int = 500):
     for b in batches:
-        for at in range(0, b.num_rows, _DOCS_AT_ONCE):
-            yield b.slice(at, _DOCS_AT_ONCE)
+        for at in range(0, b.num_rows, size):
+            yield b.slice(at, size)
 
 
 class Leaves:
-    """The discriminative terms' log odds for each leaf, and the leaves' parts of all sentences."""
+    """The discriminative terms' log odds for each leaf, and the leaves' parts of all documents."""
 
     def __init__(self, terms: np.ndarray, counts: np.ndarray, sizes: np.ndarray):
         self.terms, self.size = terms, len(sizes)
         self.place = np.full(FEATURES, -1, np.int32)
         self.place[terms] = np.arange(len(terms))
-        self.learn(counts, sizes)
-
-    def learn(self, counts: np.ndarray, sizes: np.ndarray) -> None:
-        self.counts, self.sizes = counts, sizes
-        base = np.maximum(counts.sum(1), 1e-6) / max(sizes.sum(), 1)
-        self.odds = _odds(counts, sizes, base)
+        self.odds = _odds(counts, sizes, np.maximum(counts.sum(1), 1e-6) / max(sizes.sum(), 1))
         self.part = ((sizes + 1) / (sizes.sum() + self.size)).astype(np.float32)
 
-    def posterior(self, s: _Sentences) -> np.ndarray:
-        """Each sentence's leaf, by its terms and by the leaves that the terms of its document's sentences say."""
-        score, known = s.scores(self.odds), s.known()[:, None]
-        p = _posterior(score, np.log(self.part)) * known
-        return _posterior(score, s.prior(s.of_docs(p, self.size), self.part, LEAF_PRIOR)) * known
+    def likeliest(self, s: _Sentences) -> np.ndarray:
+        """Each sentence's leaf, by its terms and by the leaves that the terms of its document's sentences say; -1 without terms."""
+        score, known = s.scores(self.odds), s.known()
+        score += np.log(self.part)
+        first = s.doc * self.size + score.argmax(1)
+        of_docs = np.bincount(first[known], minlength=s.docs * self.size).reshape(s.docs, self.size)
+        # The leaves' parts are in both priors, so they are taken off again.
+        score += (np.log((of_docs + LEAF_PRIOR * self.part) / (of_docs.sum(1, keepdims=True) + LEAF_PRIOR)) - np.log(self.part)).astype(np.float32)[s.doc]
+        return np.where(known, score.argmax(1), -1).astype(np.int32)
 
-    def placed(self, rows: DataFrame, labelled: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Counts of terms and of sentences by leaf, each sentence in its likeliest one, and (document, leaf, part) of the
-        labelled documents, whose places in `labelled` (ascending ids) stand for them."""
-        t, k = len(self.terms), self.size
-        shared = rows.sparkSession.sparkContext.broadcast((self, labelled))  # at most FEATURES x 2^LEVELS numbers and MOST_LABELLED ids
 
-        def run(batches):
-            model, ids = shared.value
-            keys, weights, size = [], [], 0
-            for b in _pieces(batches):
-                s = _Sentences(b, model.place)
-                if not s.count:
-                    continue
-                p = model.posterior(s)
-                best, known = p.argmax(1), s.known()
-                keys += [s.term.astype(np.int64) * k + best[s.sentence], t * k + best[known]]
-                weights += [np.ones(len(s.term)), np.ones(int(known.sum()))]
-                size += len(s.term)
-                if len(ids):
-                    mine = b.column(0).to_numpy()
-                    at = np.minimum(np.searchsorted(ids, mine), len(ids) - 1)
-                    has = np.flatnonzero(ids[at] == mine)
-                    if len(has):
-                        of = s.of_docs(p, k)[has]
-                        d, leaf = np.nonzero(of > 0.01)
-                        keys.append((t + 1 + at[has][d]) * k + leaf)
-                        weights.append(of[d, leaf].astype(float))
-                if size > 1 << 21:
-                    yield _emit(keys, weights)
-                    keys, weights, size = [], [], 0
-            if keys:
-                yield _emit(keys, weights)
-
-        key, n = _arrays(_added(rows.select("id", "words", "sizes").mapInArrow(run, _KEY)))
-        shared.destroy()
-        counts, sizes = np.zeros((t, k), np.float32), np.zeros(k)
-        row, leaf = key // k, key % k
-        at = row < t
-        counts[row[at], leaf[at]] = n[at]
-        sizes[leaf[row == t]] = n[row == t]
-        at = row > t
-        return counts, sizes, row[at] - t - 1, leaf[at], n[at]
+def placed(rows: DataFrame, leaves: Leaves) -> DataFrame:
+    """(id, terms, hits, leaf) of documents (id, words, sizes): what _Sentences.read reads."""
+    shared = rows.sparkSession.sparkContext.broadcast(leaves)  # at most FEATURES x 2^LEVELS numbers
+
+    def lists(counts, values):
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(values.astype(np.int32)))
+
+    def run(batches):
+        model = shared.value
+        for b in _pieces(batches, _DOCS_AT_ONCE):
+            words, _ = flat(b, 1)
+            sizes, per = flat(b, 2)
+            term = model.place[words & (FEATURES - 1)]
+            at = np.flatnonzero(term >= 0)
+            sentence = np.repeat(np.arange(len(sizes)), sizes)[at]
+            hits = np.bincount(sentence, minlength=len(sizes))
+            s = _Sentences(term[at], hits, per)
+            of_doc = np.bincount(s.doc, hits, minlength=len(per)) if s.count else np.zeros(len(per))
+            yield pa.RecordBatch.from_arrays([b.column(0), lists(of_doc, s.term), lists(per, hits), lists(per, model.likeliest(s) if s.count else np.empty(0))], names=["id", "terms", "hits", "leaf"])
+
+    return rows.select("id", "words", "sizes").mapInArrow(run, "id long, terms array<int>, hits array<int>, leaf array<int>")
+
+
+def leaf_sentences(sentences: DataFrame, terms: int, leaves: int, labelled: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Counts of terms and of sentences by leaf, and (document, leaf, sentences) of the labelled documents, whose places in
+    `labelled` (ascending ids) stand for them."""
+    shared = sentences.sparkSession.sparkContext.broadcast(labelled)  # at most MOST_LABELLED ids
+
+    def run(batches):
+        ids, keys, size = shared.value, [], 0
+        for b in _pieces(batches):
+            s = _Sentences.read(b)
+            known = s.leaf >= 0
+            keys += [s.term.astype(np.int64) * leaves + s.leaf[s.sentence], terms * leaves + s.leaf[known]]
+            if len(ids):
+                mine = b.column(0).to_numpy()
+                at = np.minimum(np.searchsorted(ids, mine), len(ids) - 1)
+                has = known & (ids[at] == mine)[s.doc]
+                keys.append((terms + 1 + at[s.doc[has]]) * leaves + s.leaf[has])
+            size += len(s.term)
+            if size > 1 << 21:
+                yield _emit(keys)
+                keys, size = [], 0
+        if keys:
+            yield _emit(keys)
+
+    key, n = _arrays(_added(sentences.mapInArrow(run, _KEY)))
+    row, leaf = key // leaves, key % leaves
+    counts, sizes = np.zeros((terms, leaves), np.float32), np.zeros(leaves)
+    at = row < terms
+    counts[row[at], leaf[at]] = n[at]
+    sizes[leaf[row == terms]] = n[row == terms]
+    at = row > terms
+    return counts, sizes, row[at] - terms - 1, leaf[at], n[at]
 
 
 def mixtures(doc: np.ndarray, leaf: np.ndarray, part: np.ndarray, has: np.ndarray, leaves: int, rounds: int = 15) -> tuple[np.ndarray, np.ndarray]:
@@ -393,12 +409,13 @@ def mixtures(doc: np.ndarray, leaf: np.ndarray, part: np.ndarray, has: np.ndarra
 
 
 class Model:
-    """Subjects of leaves and, through them, of terms."""
+    """Subjects of leaves and, through them, of terms. counts: sentences of terms by leaf; sizes: of leaves; labelled: of
+    leaves, in labelled documents."""
 
-    def __init__(self, subjects: list[str], leaves: Leaves, mixture: np.ndarray, labelled: np.ndarray):
-        self.subjects, self.leaves, self.mixture = subjects, leaves, mixture.astype(np.float32)
+    def __init__(self, subjects: list[str], counts: np.ndarray, sizes: np.ndarray, mixture: np.ndarray, labelled: np.ndarray):
+        self.subjects, self.mixture = subjects, mixture.astype(np.float32)
         self.told = (labelled / (labelled + 1)).astype(np.float32)  # how far labels say what a leaf is
-        self.learn(leaves.counts.astype(float) @ (mixture * self.told[:, None]), leaves.sizes @ mixture)
+        self.learn(counts.astype(float) @ (mixture * self.told[:, None]), sizes @ mixture)
 
     def learn(self, counts: np.ndarray, sizes: np.ndarray) -> None:
         """From counts of terms and sentences by subject (the last is none). Terms spread over subjects say nothing."""
@@ -418,29 +435,28 @@ class Model:
         far as no label says what its leaf is, of those of the company it keeps in its document.
         """
         n, none = len(self.part), np.eye(1, len(self.part), len(self.part) - 1, dtype=np.float32)
-        leaf, score, silent = self.leaves.posterior(s), s.scores(self.odds), ~s.known(self.use)
-        p = mixed = leaf @ self.mixture
-        mixed[~s.known()] = none
+        known, score, silent = s.leaf >= 0, s.scores(self.odds), ~s.known(self.use)
+        p = mixed = np.where(known[:, None], self.mixture[s.leaf], none)
         for _ in range(2):
             p = _posterior(score, s.prior(s.of_docs(p, n), self.part, SUBJECT_PRIOR))
             p[silent] = none
         if learning and silent.any():
             company = np.exp(s.prior(s.of_docs(p * ~silent[:, None], n), self.part, SUBJECT_PRIOR)[silent])
-            told = (leaf[silent] @ self.told)[:, None]
-            p[silent] = np.where(s.known()[silent, None], told * mixed[silent] + (1 - told) * company, none)
+            told = self.told[s.leaf[silent], None]
+            p[silent] = np.where(known[silent, None], told * mixed[silent] + (1 - told) * company, none)
         return p
 
 
-def _by_subject(rows: DataFrame, model: Model, bits: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+def _by_subject(sentences: DataFrame, model: Model, bits: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
     """Counts of terms and of sentences by subject; a labelled document's sentences go to its subjects or to none but for UNNAMED."""
-    t, n = len(model.leaves.terms), len(model.part)
-    shared = rows.sparkSession.sparkContext.broadcast((model, bits))  # at most FEATURES x (2^LEVELS + subjects) numbers and MOST_LABELLED labels
+    t, n = len(model.odds), len(model.part)
+    shared = sentences.sparkSession.sparkContext.broadcast((model, bits))  # at most FEATURES x subjects numbers and MOST_LABELLED labels
 
     def run(batches):
         model, bits = shared.value
         total = np.zeros((t + 1, n))
         for b in _pieces(batches):
-            s = _Sentences(b, model.leaves.place)
+            s = _Sentences.read(b)
             if not s.count:
                 continue
             p = model.posterior(s, learning=True)
@@ -455,8 +471,7 @@ def _by_subject(rows: DataFrame, model: Model, bits: dict[int, int]) -> tuple[np
             total[t] += p.sum(0)
         return total
 
-    out = summed(rows.select("id", "words", "sizes"), run, (t + 1, n), np.float32).astype(float)
-    shared.destroy()
+    out = summed(sentences, run, (t + 1, n), np.float32).astype(float)
     return out[:t], out[t]
 
 
@@ -465,7 +480,7 @@ def _assign(shared, least: float):
         model = shared.value
         n = len(model.part)
         for b in _pieces(batches):
-            s = _Sentences(b, model.leaves.place)
+            s = _Sentences.read(b)
             if not s.count:
                 continue
             count = np.bincount(s.doc * n + model.posterior(s).argmax(1), minlength=s.docs * n).reshape(-1, n)
@@ -487,19 +502,17 @@ class Subjects:
             return
         words = self.work.keep(words_of(documents, id_col, text_col, by_sentence=True), "words")
         seen = latent.frequencies(words.select("words"), SPACE)
-        basis = latent.fit(words.select("words"), seen, DIMENSIONS)
-        self.rows = self.work.keep(_with_vectors(words, seen, basis), "vectors")
-        self.tree = cluster(self.rows.select("vector"))
-        terms, counts, sizes = leaf_terms(self.rows, self.tree, self.work)
+        basis = latent.fit(words.select("words"), seen, DIMENSIONS, spare=0)
+        rows = self.work.keep(_with_vectors(words, seen, basis), "vectors")
+        tree = cluster(rows.select("vector"))
+        terms, counts, sizes = leaf_terms(rows, tree, self.work)
         if not len(terms):
             return
-        leaves, labelled = Leaves(terms, counts, sizes), np.array(sorted(bits), np.int64)
-        for k in range(LEAF_PASSES):
-            last = k == LEAF_PASSES - 1
-            counts, sizes, doc, leaf, part = leaves.placed(self.rows, labelled if last else labelled[:0])
-            leaves.learn(counts, sizes)
+        self.rows = self.work.keep(placed(rows, Leaves(terms, counts, sizes)), "placed")
+        labelled = np.array(sorted(bits), np.int64)
+        counts, sizes, doc, leaf, part = leaf_sentences(self.rows, len(terms), len(sizes), labelled)
         has = np.array([[bits[i] >> k & 1 for k in range(len(self.subjects))] for i in labelled.tolist()])
-        self.model = Model(self.subjects, leaves, *mixtures(doc, leaf, part, has, leaves.size))
+        self.model = Model(self.subjects, counts, sizes, *mixtures(doc, leaf, part, has, len(sizes)))
         for _ in range(SUBJECT_PASSES - 1):
             self.model.learn(*_by_subject(self.rows, self.model, bits))
 
@@ -511,6 +524,6 @@ class Subjects:
         """
         if not self.model:
             return self.work.spark.createDataFrame([], "doc_id long, subject string, part double")
-        shared = self.work.spark.sparkContext.broadcast(self.model)  # at most FEATURES x (2^LEVELS + subjects) numbers
-        found = self.rows.select("id", "words", "sizes").mapInArrow(_assign(shared, least), "doc_id long, subject string, part double")
+        shared = self.work.spark.sparkContext.broadcast(self.model)  # at most FEATURES x subjects numbers
+        found = self.rows.mapInArrow(_assign(shared, least), "doc_id long, subject string, part double")
         return found.groupBy("doc_id", "subject").agg(F.max("part").alias("part"))

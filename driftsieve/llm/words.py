@@ -116,23 +116,25 @@ def words_of(df: DataFrame, id_col: str, text_col: str, by_sentence: bool = Fals
     return source.mapInArrow(run, "id long, words array<int>" + (", sizes array<int>" if by_sentence else ""))
 
 
-PIECES = 32
+#: Arrays are cut into pieces of at least so many numbers, and so many arrays are added by one task, or by the driver at last.
+PIECES, LEAST_PIECE, FAN = 32, 1 << 14, 64
 
 
 def summed(df: DataFrame, function, shape: tuple[int, ...], dtype=np.float64) -> np.ndarray:
-    """The sum of function(batches), an array of a fixed shape, over all partitions of df.
+    """The sum of function(batches), an array of a fixed shape, over all partitions of df, a scan.
 
-    Arrays are cut into pieces and added in two steps on the executors, so neither a task nor the driver ever holds more
-    than one array and the pieces of a few hundred tasks.
+    Arrays are cut into pieces and added on the executors in as many steps as there are partitions for, so neither a task nor
+    the driver ever gets more than the pieces of FAN arrays, the driver of a quarter of those.
     """
     size = int(np.prod(shape))
-    each = -(-size // PIECES)
+    pieces = max(1, min(PIECES, size // LEAST_PIECE))
+    each = -(-size // pieces)
 
     def run(batches):
-        flat = np.zeros(each * PIECES, dtype)
+        flat = np.zeros(each * pieces, dtype)
         flat[:size] = np.asarray(function(batches), dtype).reshape(-1)
-        task = TaskContext.get().partitionId() // 64
-        yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([task] * PIECES, pa.int32()), pa.array([p.tobytes() for p in flat.reshape(PIECES, each)], pa.binary())], names=["piece", "part", "data"])
+        task = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays([pa.array(range(pieces), pa.int32()), pa.array([task] * pieces, pa.int32()), pa.array([p.tobytes() for p in flat.reshape(pieces, each)], pa.binary())], names=["piece", "part", "data"])
 
     def add(pdf):
         total = np.zeros(each, dtype)
@@ -141,8 +143,11 @@ def summed(df: DataFrame, function, shape: tuple[int, ...], dtype=np.float64) ->
         return pdf.head(1).assign(data=[total.tobytes()])
 
     kind = "piece int, part int, data binary"
-    parts = df.mapInArrow(run, kind).groupBy("piece", "part").applyInPandas(add, kind)
-    out = np.zeros((PIECES, each), dtype)
-    for piece, _, data in parts.withColumn("part", F.lit(0)).groupBy("piece").applyInPandas(add, kind).toLocalIterator():
-        out[piece] = np.frombuffer(data, dtype)
+    parts, n = df.mapInArrow(run, kind), df.rdd.getNumPartitions()
+    while n > FAN // 4:
+        parts = parts.withColumn("part", F.floor(F.col("part") / FAN).cast("int")).groupBy("piece", "part").applyInPandas(add, kind)
+        n = -(-n // FAN)
+    out, got = np.zeros((pieces, each), dtype), parts.toArrow()
+    for piece, data in zip(got.column("piece").to_pylist(), got.column("data")):
+        out[piece] += np.frombuffer(data.as_buffer(), dtype)
     return out.reshape(-1)[:size].reshape(shape)

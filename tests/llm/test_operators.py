@@ -14,7 +14,7 @@ from driftsieve.llm.leaks import common_subsequence, leaked_items
 from driftsieve.llm.mixing import Mixture, _tokenizer, permuted, token_counts
 from driftsieve.llm.near import near_groups
 from driftsieve.llm.seen import error_rates, seen_before
-from driftsieve.llm.subjects import Model, Subjects
+from driftsieve.llm.subjects import Model, Subjects, leaf_sentences
 from driftsieve.llm.textforms import canonical, plain_form, record_key
 from driftsieve.llm.words import sentence_words, sentences
 from driftsieve.llm.visual import plain_texts, same_looking_pairs
@@ -334,7 +334,8 @@ def test_p8_needs_its_leaves(spark):
     labels = {(r["doc_id"], r["subject"].strip().lower()) for r in t("subject_labels").where("subject is not null").collect()}
     assert len(labels & with_leaves) >= 0.8 * len(labels)  # 0.92 are right; of some languages and subjects there are too few to name a leaf
     flat = s.model.mixture.mean(0, keepdims=True).repeat(len(s.model.mixture), 0)
-    s.model = Model(s.subjects, s.model.leaves, flat, np.ones(len(flat)))
+    counts, sizes, *_ = leaf_sentences(s.rows, len(s.model.odds), len(flat), np.empty(0, np.int64))
+    s.model = Model(s.subjects, counts, sizes, flat, np.full(len(flat), 1e6))
     assert len(labels & got(s.assign().select("doc_id", "subject"))) < 0.2 * len(labels)
 
 
