@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pathlib import Path
 
 #: Settings that decide which rows collide; they stay as they are for the life of a state folder.
-FIXED = ("num_perm", "num_bands", "ngram_type", "ngram_size", "seed", "tier_fanout", "hash_name")
+FIXED = ("num_perm", "num_bands", "ngram_type", "ngram_size", "seed", "tier_fanout", "hash_name", "exact_fold")
 PROBE_ORDERS = ("largest_first", "smallest_first", "newest_first")
 
 
@@ -19,7 +19,8 @@ class SieveConfig:
 
     tier_fanout runs of a level make one of the next in the index's manifest. The settings on memory, workers, chunks and
     windows are accepted so that existing calls go on working; Spark sizes its own tasks. hash_name is "md5" (the keys
-    can be worked out in SQL elsewhere) or "xxhash64" (about a third faster).
+    can be worked out in SQL elsewhere) or "xxhash64" (about a third faster). exact_fold folds the letters that become several
+    (ligatures and the like; sharp s is folded in any case) as Unicode has it, in Python.
     """
 
     num_perm: int = 64
@@ -38,6 +39,7 @@ class SieveConfig:
     record_replay_manifest: bool = True
     record_row_signatures: bool = False
     hash_name: str = "md5"
+    exact_fold: bool = False
 
     def __post_init__(self):
         rules = {

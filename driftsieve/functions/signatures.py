@@ -28,12 +28,12 @@ def shingle_hash(c: Column, hash_name: str = "md5") -> Column:
     return F.pmod(F.xxhash64(c), F.lit(PRIME))
 
 
-def minhash(df: DataFrame, ids: list[str], text: str, config: SieveConfig = SieveConfig(), exact_fold: bool = False) -> DataFrame:
+def minhash(df: DataFrame, ids: list[str], text: str, config: SieveConfig = SieveConfig(), exact_fold: bool | None = None) -> DataFrame:
     """(ids, m0, m1, ...): for each permutation the least permuted hash of a row's shingles.
 
     Shingles are exploded and their minima combine before the shuffle, so what moves is a row's ids and its minima.
     """
-    normal = df.select(*ids, normalized(F.col(f"`{text}`"), exact_fold).alias("_text"))  # a step of its own, so it is worked out once a row
+    normal = df.select(*ids, normalized(F.col(f"`{text}`"), config.exact_fold if exact_fold is None else exact_fold).alias("_text"))  # a step of its own, so it is worked out once a row
     one = normal.select(*ids, F.explode(shingles_of_normal(F.col("_text"), config.ngram_type, config.ngram_size)).alias("_shingle"))
     hashed = one.select(*ids, shingle_hash(F.col("_shingle"), config.hash_name).alias("_x"))
     return hashed.groupBy(*ids).agg(*(F.min((F.col("_x") * a + b) % PRIME).alias(f"m{i}") for i, (a, b) in enumerate(permutations(config.num_perm, config.seed))))
@@ -45,7 +45,7 @@ def band_hash(columns: list[Column], hash_name: str = "md5") -> Column:
     return F.xxhash64(*columns)
 
 
-def band_keys(df: DataFrame, ids: list[str], text: str, config: SieveConfig = SieveConfig(), exact_fold: bool = False) -> DataFrame:
+def band_keys(df: DataFrame, ids: list[str], text: str, config: SieveConfig = SieveConfig(), exact_fold: bool | None = None) -> DataFrame:
     """(ids, keys): each row's band keys, in order of bands. A row that comes twice under the same ids counts once."""
     r = config.rows_per_band
     keys = F.array(*(band_hash([F.col(f"m{i}") for i in range(b * r, (b + 1) * r)], config.hash_name) for b in range(config.num_bands)))

@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 from driftsieve.config import PROBE_ORDERS, read_json, write_json
 
 
+#: Keys that one task sorts and writes.
+KEYS_A_TASK = 1 << 22
+
+
 def safe_name(tag: str) -> str:
     clean = re.sub(r"[^A-Za-z0-9_.=-]", "_", tag.strip())
     return clean or "shard"
@@ -38,10 +42,14 @@ class KeyIndex:
     def folder(self, tag: str) -> Path:
         return self.path / f"dataset={folder_name(tag)}"
 
-    def append(self, keys: DataFrame, tag: str) -> dict[int, int]:
-        """Writes a release's distinct (band, key); replaces what an earlier try left. Gives the count of each band."""
-        out = self.folder(tag)
-        keys.select("band", "key").distinct().repartition("band").sortWithinPartitions("band", "key").write.mode("overwrite").partitionBy("band").parquet(str(out))
+    def append(self, keys: DataFrame, tag: str, rows: int = 0) -> dict[int, int]:
+        """Writes a release's distinct (band, key); replaces what an earlier try left. Gives the count of each band.
+
+        Ranges of (band, key) are the tasks, as many as a release of so many rows needs, so a band is spread over files, each
+        sorted and of a range of its own, which readers skip by its least and greatest key.
+        """
+        out, n = self.folder(tag), max(1, -(-rows * self.bands // KEYS_A_TASK))
+        keys.select("band", "key").distinct().repartitionByRange(n, "band", "key").sortWithinPartitions("band", "key").write.mode("overwrite").partitionBy("band").parquet(str(out))
         return {r["band"]: r["n"] for r in self.keys([tag]).groupBy("band").agg(F.count("*").alias("n")).collect()}
 
     def keys(self, tags: list[str], band: int | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import dataclasses
 import logging
+import os
 import shutil
 import time
 from dataclasses import dataclass, field
@@ -28,6 +29,8 @@ from driftsieve.storage import Workspace, spread
 
 log = logging.getLogger("driftsieve")
 PLACE = ["file_rank", "row_index"]
+#: Removed places that are sent to all executors, about 100 MB; see Sieve._write_outputs.
+MOST_SENT = 2_000_000
 
 
 @dataclass
@@ -73,7 +76,7 @@ class Sieve:
             config = SieveConfig.load(self.state) if SieveConfig.file(self.state).exists() else SieveConfig()
         self.config = config
         self.index = KeyIndex(spark, self.state, config.num_bands, config.tier_fanout)
-        self.paths = src.PathTable(self.state)
+        self.paths = src.PathTable(self.state, spark)
 
     # ------------------------------------------------------------ ledger
 
@@ -147,11 +150,15 @@ class Sieve:
         return out
 
     def _ingest(self, files: list[Path], dataset: str, output_dir: Path, column: str, row_keys: Path | None = None) -> IngestReport:
-        began, config, work = time.monotonic(), self.config, Workspace(self.spark, "ingest")
+        with Workspace(self.spark, "ingest") as work:
+            return self._ingested(work, files, dataset, output_dir, column, row_keys)
+
+    def _ingested(self, work: Workspace, files: list[Path], dataset: str, output_dir: Path, column: str, row_keys: Path | None) -> IngestReport:
+        began, config = time.monotonic(), self.config
         active = [t for t in self.datasets() if t != dataset]
         groups = src.grouped_by_schema(files, column)
         phase = _Phase("paths")
-        ids = self.paths.intern(files)
+        ids = self.paths.intern(files) if config.record_replay_manifest else [None] * len(files)
         phase.done(files=len(files))
 
         phase = _Phase("signatures")
@@ -174,13 +181,13 @@ class Sieve:
         phase.done(**by)
 
         phase = _Phase("index")
-        counts = self.index.append(banded, dataset)
+        counts = self.index.append(banded, dataset, n_input)
         if config.record_row_signatures:
             keyed.write.mode("overwrite").parquet(str(self.row_keys_path(dataset)))
         phase.done(keys=sum(counts.values()))
 
         phase = _Phase("outputs")
-        outputs = self._write_outputs(groups, files, removed, output_dir)
+        outputs = self._write_outputs(groups, files, removed, sum(by.values()), output_dir)
         self._write_removals(removed, files, ids, dataset)
         phase.done(files=len(outputs))
 
@@ -193,9 +200,14 @@ class Sieve:
         n_within, n_cross = by.get("within", 0), by.get("cross", 0)
         return IngestReport(dataset, n_input, n_within, n_cross, n_input - n_within - n_cross, outputs, scheduled, scheduled, time.monotonic() - began)
 
-    def _write_outputs(self, groups: list[list[Path]], files: list[Path], removed: DataFrame, output_dir: Path) -> list[str]:
-        """A parquet folder for each input file, under its name, with its own columns, rows in order within each part.
-        Of files with the same name, later ones get a number. A file of which nothing is left still gets its columns."""
+    def _write_outputs(self, groups: list[list[Path]], files: list[Path], removed: DataFrame, n_removed: int, output_dir: Path) -> list[str]:
+        """A parquet folder for each input file, under its name, with its own columns, rows in order over its parts.
+        Of files with the same name, later ones get a number. A file of which nothing is left still gets its columns.
+
+        Up to MOST_SENT removed places go to all executors and the rows stay where they are scanned, so an output has as
+        many parts as its input has splits. More are joined, and the rows then put in ranges of (file, row), so that all
+        outputs together have hardly more parts than there are ranges.
+        """
         output_dir.mkdir(parents=True, exist_ok=True)
         rank, names, taken = src.ranks(files), {}, set()
         for f in files:
@@ -207,7 +219,11 @@ class Sieve:
         for k, group in enumerate(groups):
             rows = src.read_rows(self.spark, group, files)
             columns = [c for c in rows.columns if c not in PLACE]
-            kept = rows.join(removed.select(*PLACE), PLACE, "left_anti").sortWithinPartitions(*PLACE)
+            gone = removed.select(*PLACE)
+            kept = rows.join(F.broadcast(gone) if n_removed <= MOST_SENT else gone.hint("merge"), PLACE, "left_anti")  # size checked
+            if n_removed > MOST_SENT:
+                kept = kept.repartitionByRange(*PLACE)
+            kept = kept.sortWithinPartitions(*PLACE)
             fresh = output_dir / f".writing-{k}"
             kept.select(*(F.col(f"`{c}`") for c in columns), F.col("file_rank").alias("_of_file")).write.mode("overwrite").partitionBy("_of_file").parquet(str(fresh))
             for f in group:
@@ -230,16 +246,16 @@ class Sieve:
 
     def withdraw(self, dataset: str, purge_outputs: bool = False) -> WithdrawReport:
         """Forgets a release: later ones are screened as if it weren't there. Its outputs stay unless they are purged, and then
-        only what was recorded goes, and the folder if nothing else is in it. An unknown release is an error."""
+        only what was recorded goes, and the folder if nothing else is in it. An unknown release is an error.
+
+        The ledger's event comes when all else is done, and each step can be done again, so a withdrawal that was cut off is
+        finished by calling it once more; until then the release still counts as there."""
         began = time.monotonic()
         meta = self.meta(dataset)
         if meta is None:
             raise KeyError(f"no release {dataset!r} is in the index")
         others = [t for t in self.datasets() if t != dataset]
-        self._record({"op": "withdraw", "dataset": dataset})
         alone, anew = self.index.withdraw(dataset, others)
-        for old in (self._meta_file(dataset).parent, self.removals_path(dataset)):
-            shutil.rmtree(old, ignore_errors=True)
         outputs = meta["output_files"]
         if purge_outputs:
             for f in map(Path, outputs):
@@ -247,6 +263,9 @@ class Sieve:
             folder = Path(meta["output_dir"])
             if folder.is_dir() and not any(folder.iterdir()):
                 folder.rmdir()
+        shutil.rmtree(self.removals_path(dataset), ignore_errors=True)
+        self._record({"op": "withdraw", "dataset": dataset})
+        shutil.rmtree(self._meta_file(dataset).parent, ignore_errors=True)
         return WithdrawReport(dataset, alone, anew, [] if purge_outputs else outputs, purge_outputs, time.monotonic() - began)
 
     def stats(self) -> dict:
@@ -282,6 +301,14 @@ def _checked(sieve: Sieve, events: list[dict], dest: Path, config: SieveConfig |
     return config
 
 
+def _link(a: str, b: str) -> None:
+    """Parts of outputs are never changed, so the same bytes serve both; a copy where links can't be made."""
+    try:
+        os.link(a, b)
+    except OSError:
+        shutil.copy2(a, b)
+
+
 def _replay(fresh: Sieve, old: Sieve, event: dict, output_root: Path, row_keys: Path | None = None) -> IngestReport:
     files = [src.uri_path(e.uri) for e in old.paths.resolve(event["inputs"])]
     return fresh._ingest(files, event["dataset"], output_root / folder_name(event["dataset"]), event["column"], row_keys)
@@ -329,7 +356,7 @@ def rebuild_survivors_suffix(spark: SparkSession, state_dir: str | Path, tag: st
         folder = output_root / folder_name(name)
         outputs = []
         for f in map(Path, meta["output_files"]):
-            shutil.copytree(f, folder / f.name)
+            shutil.copytree(f, folder / f.name, copy_function=_link)
             outputs.append(str(folder / f.name))
         write_json(fresh._meta_file(name), meta | {"output_dir": str(folder), "output_files": outputs})
         fresh.index.record(name, {r["band"]: r["n"] for r in fresh.index.keys([name]).groupBy("band").agg(F.count("*").alias("n")).collect()})

@@ -86,11 +86,26 @@ def digest(file: Path) -> tuple[str, int]:
     return h.hexdigest(), size
 
 
+def digests(spark: SparkSession, files: list[Path]) -> dict[Path, tuple[str, int]]:
+    """The digest and size of each file, read in pieces on the executors; one task a file."""
+
+    def run(batches):
+        for pdf in batches:
+            found = [digest(Path(f)) for f in pdf["file"]]
+            yield pdf.assign(digest=[d for d, _ in found], size=[n for _, n in found])
+
+    if not files:
+        return {}
+    names = spark.createDataFrame([(str(f),) for f in files], "file string").repartition(len(files), "file")
+    return {Path(f): (d, n) for f, d, n in names.mapInPandas(run, "file string, digest string, size long").collect()}
+
+
 class PathTable:
-    """An append-only list of (id, uri, digest, size); an id is its place. The same file with the same content has one id;
+    """With a session, contents are hashed on the executors, else here. An append-only list of (id, uri, digest, size); an id is its place. The same file with the same content has one id;
     with other content it gets another. A table that can't be read or whose ids are not their places is an error."""
 
-    def __init__(self, state_dir: str | Path):
+    def __init__(self, state_dir: str | Path, spark: SparkSession | None = None):
+        self.spark = spark
         self.file = Path(state_dir) / "paths.json"
 
     @contextmanager
@@ -109,8 +124,12 @@ class PathTable:
             raise ValueError(f"ids of the table of paths are not their places: {self.file}")
         return out
 
+    def _digests(self, files: list[Path]) -> dict[Path, tuple[str, int]]:
+        return digests(self.spark, files) if self.spark else {f: digest(f) for f in files}
+
     def intern(self, files: list[Path]) -> list[int]:
-        content = [(f.as_uri(), *digest(f)) for f in files]
+        found = self._digests(files)
+        content = [(f.as_uri(), *found[f]) for f in files]
         with self._locked():
             table = self.entries()
             known = {(e.uri, e.digest): e.id for e in table}
@@ -132,12 +151,13 @@ class PathTable:
 
     def drift(self, ids: list[int]) -> list[tuple[int, str, str]]:
         """(id, uri, reason) of files that are gone or have other content by now."""
-        out = []
-        for e in self.resolve(ids):
+        out, entries = [], self.resolve(ids)
+        now = self._digests(list(dict.fromkeys(f for e in entries if (f := uri_path(e.uri)).exists())))
+        for e in entries:
             file = uri_path(e.uri)
-            if not file.exists():
+            if file not in now:
                 out.append((e.id, e.uri, "missing"))
-            elif digest(file)[0] != e.digest:
+            elif now[file][0] != e.digest:
                 out.append((e.id, e.uri, "digest_mismatch"))
         return out
 
@@ -146,9 +166,3 @@ def uri_path(uri: str) -> Path:
     from urllib.parse import unquote, urlparse
 
     return Path(unquote(urlparse(uri).path))
-
-
-def digests(spark: SparkSession, pattern: str) -> DataFrame:
-    """(uri, digest, size) of files, worked out on the executors; for files of up to 2 GB each."""
-    files = spark.read.format("binaryFile").load(pattern)
-    return files.select(F.col("path").alias("uri"), F.sha2("content", 256).alias("digest"), F.col("length").alias("size"))

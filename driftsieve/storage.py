@@ -11,13 +11,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+#: The workspaces of each application.
+_MADE: dict[str, list[str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, as in tests, one of our own on this machine."""
+    """The folder in spark.checkpoint.dir; where that is unset, as in tests, one of our own on this machine. On a cluster
+    there is no such thing, so there the setting is asked for."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="driftsieve-")
@@ -31,6 +36,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
+        _MADE.setdefault(spark.sparkContext.applicationId, []).append(self.path)
 
     def keep(self, df: DataFrame, name: str = "t", partition_by: str | None = None) -> DataFrame:
         self._n += 1
@@ -39,12 +45,27 @@ class Workspace:
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, df: DataFrame) -> None:
-        """Deletes a kept table that no later step reads."""
-        jvm = self.spark.sparkContext._jvm
-        for file in df.inputFiles()[:1]:
-            path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    def close(self) -> None:
+        """Deletes all tables kept here. For jobs whose results are written; a query that gives a DataFrame leaves its
+        tables until that is done with, see clear."""
+        delete(self.spark, self.path)
+
+    def __enter__(self) -> "Workspace":
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes what this application's queries have kept between their steps. DataFrames that they gave can't be read after it."""
+    for path in _MADE.pop(spark.sparkContext.applicationId, []):
+        delete(spark, path)
 
 
 _CHEAP = {"Project", "Filter", "Relation", "RelationV2", "LogicalRDD", "LocalRelation", "Union"}

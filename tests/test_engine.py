@@ -116,6 +116,73 @@ def test_withdraw(spark, tmp_path, releases):
     assert s.datasets() == ["d", "a"]
 
 
+def test_withdrawal_can_be_finished(spark, tmp_path, releases, monkeypatch):
+    """Cut off at any step, it is finished by another call."""
+    for step in ("_record", "index", "removals_path"):
+        s, _ = run(spark, tmp_path / step, releases, "ab", tmp_path / step / "o")
+        with monkeypatch.context() as m:
+            boom = lambda *_: (_ for _ in ()).throw(OSError("cut off"))
+            m.setattr(KeyIndex if step == "index" else Sieve, "withdraw" if step == "index" else step, boom)
+            with pytest.raises(OSError):
+                s.withdraw("a")
+        assert s.datasets() == ["a", "b"]
+        s.withdraw("a")
+        assert s.datasets() == ["b"] and s.meta("a") is None and not s.index.folder("a").exists()
+        assert {r["dataset"] for band in range(4) for r in s.index.runs(band)} == {"b"}
+
+
+@pytest.mark.parametrize("most", [0, 100])
+def test_outputs_keep_order_and_few_parts(spark, tmp_path, monkeypatch, most):
+    """Three inputs and many shuffle partitions: parts don't multiply, and rows stay in order over a file's parts."""
+    from driftsieve.plans import engine
+
+    monkeypatch.setattr(engine, "MOST_SENT", most)
+    files = [write(tmp_path / f"in/{k}.parquet", [text(100 * k + i % 40) for i in range(60)]) for k in range(3)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        r = Sieve(spark, tmp_path / "s", SMALL).ingest(files, "r", tmp_path / "o")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    parts = [sorted(Path(f).glob("part-*.parquet")) for f in r.output_files]
+    assert r.n_output == 120 and sum(map(len, parts)) <= (3 if most else 12 + 2)
+    for p in parts:
+        assert [i for f in p for i in pq.read_table(f, columns=["id"])["id"].to_pylist()] == list(range(40))
+
+
+def test_index_tasks_grow_with_keys(spark, tmp_path, monkeypatch):
+    from driftsieve.operators import index as module
+
+    monkeypatch.setattr(module, "KEYS_A_TASK", 100)
+    index = KeyIndex(spark, tmp_path, 2, 2)
+    counts = index.append(spark.range(1000).selectExpr("CAST(id % 2 AS INT) AS band", "id * 7919 % 1009 AS key"), "r", 500)
+    files = list(index.folder("r").rglob("part-*.parquet"))
+    ranges = sorted((int(f.parent.name[5:]), min(k), max(k)) for f in files if (k := pq.ParquetFile(f).read()["key"].to_pylist()))
+    assert counts == {0: 500, 1: 500} and len(files) >= 10
+    assert all(a[0] < b[0] or a[2] < b[1] for a, b in zip(ranges, ranges[1:]))
+
+
+def test_no_hashing_without_a_manifest(spark, tmp_path, releases, monkeypatch):
+    monkeypatch.setattr("driftsieve.sources.releases.digests", None)
+    s, r = run(spark, tmp_path / "s", releases, "a", tmp_path / "o", SieveConfig(**{**SMALL.__dict__, "record_replay_manifest": False}))
+    assert r["a"].n_output == 7 and s.removals("a").columns == ["source_file", "source_row", "reason"] and s.paths.entries() == []
+
+
+def test_digests_on_executors(spark, tmp_path):
+    from driftsieve.sources.releases import digest, digests
+
+    files = [Path(write(tmp_path / f"{k}.parquet", [text(k)])) for k in range(3)]
+    assert digests(spark, files) == {f: digest(f) for f in files} and digests(spark, []) == {}
+
+
+def test_workspaces_go(spark, tmp_path, releases):
+    from driftsieve.storage import shared_folder
+
+    folder = Path(shared_folder(spark).removeprefix("file://"))
+    run(spark, tmp_path / "s", releases, "a", tmp_path / "o")
+    assert not list(folder.glob("ingest-*"))
+
+
 def test_rebuilds_equal_a_fresh_run(spark, tmp_path, releases):
     config = SieveConfig(**{**SMALL.__dict__, "record_row_signatures": True})
     run(spark, tmp_path / "s", releases, "abcd", tmp_path / "o", config)

@@ -64,6 +64,12 @@ def test_keys_do_not_depend_on_partitions(spark):
     assert one == many
 
 
+def test_exact_fold_is_a_setting(spark):
+    pair = ["an oﬃce of ﬁne works", "an OFFICE of FINE works"]
+    a, b = keys(spark, pair, exact_fold=True).values()
+    assert a == b and len(set(map(tuple, keys(spark, pair).values()))) == 2
+
+
 def test_config():
     for wrong in ({"num_bands": 7}, {"ngram_type": "byte"}, {"ngram_size": 0}, {"tier_fanout": 1}, {"probe_order": "x"}, {"sig_chunk_rows": 0}, {"screen_batch_bytes": 0}, {"ray_max_in_flight": -1}, {"hash_name": "x"}):
         with pytest.raises(ValueError):
