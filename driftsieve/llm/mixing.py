@@ -30,6 +30,8 @@ BLOCK, SHARD_SLOTS = 1024, 4096
 REMEMBERED = 1 << 19
 #: Sources that a table of weights may have, as it is read to the driver.
 MOST_SOURCES = 100_000
+#: Standard deviations of a multinomial draw within which a source's blocks count as used up.
+EXHAUSTED = 6.0
 _DOCS_A_BUCKET = 20_000
 
 _loaded: dict = {}
@@ -118,12 +120,24 @@ class Mixture:
         self.sources = [Source(s, share, repeats, sums.get(s, 0), -(-sums.get(s, 0) // block)) for s, share, repeats in sorted(listed)]
         self.total = sum(sums.values())
 
-    def short(self) -> list[Source]:
-        """Sources that can't fill their share even with each of their documents used as often as allowed."""
-        return [s for s in self.sources if s.share * self.total > s.capacity]
-
     def short_sources(self) -> DataFrame:
-        return self.spark.createDataFrame([(s.source,) for s in self.short()], "source string")
+        """(source): sources that can't fill their share even with each of their documents used as often as allowed.
+
+        They are those whose slots use up their blocks in the mix as drawn, or come within EXHAUSTED standard deviations of
+        it; the sums of tokens then say which of them fall short whatever the draw.
+        """
+        used, empty = F.coalesce("slots", F.lit(0)), F.col("most") == 0
+        spent = self._sources().join(self.used(), "source", "left").where(empty | (used + EXHAUSTED * F.sqrt(used) + EXHAUSTED >= F.col("most")))
+        return spent.where("short").select("source")
+
+    def _sources(self) -> DataFrame:
+        rows = [(s.source, s.share, s.tokens, s.repeats, s.blocks * s.repeats, s.share * self.total > s.capacity) for s in self.sources]
+        return self.spark.createDataFrame(rows, "source string, target_share double, tokens long, max_repeats long, most long, short boolean")
+
+    def used(self) -> DataFrame:
+        """(source, slots, used_tokens): the slots of the mix that hold a block, and the tokens in them."""
+        sizes = self.blocks().groupBy("source", "block").agg(F.sum("length").alias("length"))
+        return self.slots().join(sizes, ["source", "block"]).groupBy("source").agg(F.count("*").alias("slots"), F.sum("length").alias("used_tokens"))
 
     def blocks(self) -> DataFrame:
         """(source, block, doc_id, start, length): the pieces of documents that make up each block."""
@@ -173,9 +187,7 @@ class Mixture:
 
     def shares(self) -> DataFrame:
         """(source, target_share, actual_share, tokens, used_tokens, max_repeats, short): the mix as it came out."""
-        sizes = self.spark.createDataFrame([(s.source, s.share, s.tokens, s.repeats, s.share * self.total > s.capacity) for s in self.sources], "source string, target_share double, tokens long, max_repeats long, short boolean")
-        used = self.slots().join(self.blocks().groupBy("source", "block").agg(F.sum("length").alias("length")), ["source", "block"]).groupBy("source").agg(F.sum("length").alias("used"))
-        used = sizes.join(used, "source", "left").withColumn("used_tokens", F.coalesce("used", F.lit(0)))
+        used = self._sources().join(self.used(), "source", "left").withColumn("used_tokens", F.coalesce("used_tokens", F.lit(0)))
         all_used = F.sum("used_tokens").over(Window.partitionBy())  # a row for each source
         return used.select("source", "target_share", (F.col("used_tokens") / F.greatest(all_used, F.lit(1))).alias("actual_share"), "tokens", "used_tokens", "max_repeats", "short")
 

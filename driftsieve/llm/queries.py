@@ -67,4 +67,10 @@ def oracle_sql() -> dict[str, str]:
                  m AS (SELECT sig_id, band, key, min(sig_id) OVER (PARTITION BY band, key) AS earliest FROM k)
             SELECT sig_id, band FROM m
             WHERE sig_id > earliest OR EXISTS (SELECT 1 FROM index_keys i WHERE i.band = m.band AND i.band_key = m.key)""",
+        # Sizes in characters: which sources fall short is the same for any usual measure.
+        "p7_found": r"""
+            WITH w AS (SELECT lower(regexp_replace(source, '^\s+|\s+$', '', 'g')) AS source, target_share, max_repeats FROM source_weights),
+                 t AS (SELECT lower(regexp_replace(source, '^\s+|\s+$', '', 'g')) AS source, sum(length(text)) AS n FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL GROUP BY 1)
+            SELECT w.source FROM w LEFT JOIN t USING (source)
+            WHERE target_share * (SELECT coalesce(sum(n), 0) FROM t SEMI JOIN w USING (source)) > max_repeats * coalesce(n, 0)""",
     }
