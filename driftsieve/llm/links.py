@@ -25,6 +25,12 @@ SPLIT_AT = 128
 PIECES = 16
 
 
+def check_threshold(threshold: float) -> None:
+    """Signatures, sketches and prefixes are made for texts that share THRESHOLD of their windows or more."""
+    if not THRESHOLD <= threshold <= 1:
+        raise ValueError(f"the threshold must be from {THRESHOLD} to 1")
+
+
 def forms(batches, least: int, extra):
     """For chunks of (id, text, tag): ids, tags, copy keys, classes, canonical texts, and extra(texts) of new classes.
 

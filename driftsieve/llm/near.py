@@ -73,8 +73,10 @@ def near_groups(df: DataFrame, id_col: str = "id", text_col: str = "text", thres
 
     Rows are linked if they are copies but for format or share enough 20-character windows. Null ids and texts, and texts
     with fewer than `least_letters` letters and digits, are in no group; a row that comes twice counts once. An empty
-    table gives an empty result.
+    table gives an empty result. Thresholds under links.THRESHOLD are refused: of pairs at 0.7, 0.6 and 0.5 the blocks miss
+    0.004 %, 0.3 % and 4 %.
     """
+    links.check_threshold(threshold)
     work = Workspace(df.sparkSession, "near")
     rows = links.source(df, id_col, text_col)
     table = work.keep(signatures(rows, least_letters), "signatures")

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from driftsieve.llm.formats import copy_counts, format_copies
-from driftsieve.llm.history import duplicates_of_history
+from driftsieve.llm.history import duplicates_of_history, release_by_release
 from driftsieve.llm.leaks import leaked_items
 from driftsieve.llm.mixing import Mixture
 from driftsieve.llm.near import near_groups
 from driftsieve.llm.seen import error_rates, seen_before
 from driftsieve.llm.subjects import Subjects
 from driftsieve.llm.visual import same_looking_pairs
+from driftsieve.storage import shared_folder
 
 
 def _t(spark, d, name):
@@ -23,6 +26,11 @@ def _expected(spark, d) -> int:
     return int(_t(spark, d, "shards").agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0])
 
 
+def _p1_release_by_release(spark, d):
+    path = f"{shared_folder(spark)}/history-{uuid.uuid4().hex[:12]}"
+    return release_by_release(_t(spark, d, "input_parquet"), _t(spark, d, "ledger"), path)
+
+
 def _p2_found(spark, d):
     return seen_before(_t(spark, d, "row_band_keys"), _t(spark, d, "index_keys"), _expected(spark, d))
 
@@ -46,6 +54,7 @@ def _subjects(spark, d) -> Subjects:
 def queries() -> dict:
     return {
         "p1_found": lambda s, d: duplicates_of_history(_t(s, d, "input_parquet"), _t(s, d, "ledger")),
+        "p1_release_by_release": _p1_release_by_release,
         "p2_found": _p2_found,
         "p2_error_rates": _p2_error_rates,
         "p3_found": lambda s, d: near_groups(_t(s, d, "input_parquet")),

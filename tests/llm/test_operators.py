@@ -104,24 +104,25 @@ def test_p1(spark, rows, truth):
     assert got(Q.queries()["p1_found"](spark, DATA)) == _p1_truth(rows, truth)
 
 
-def test_p1_release_by_release(spark, rows, truth, tmp_path):
-    """Probing and appending one release after the other gives the same rows as all at once."""
-    table = spark.read.parquet(f"{DATA}/input_parquet.parquet")
-    history = History.create(spark, f"file://{tmp_path}/index", table)
-    active, out = [], set()
-    big = {d for d, n in duckdb.sql(f"SELECT dataset, count(*) FROM '{DATA}/input_parquet.parquet' GROUP BY 1 ORDER BY 2 DESC LIMIT 5").fetchall()}
-    for op, d in duckdb.sql(f"SELECT op, dataset FROM '{DATA}/ledger.parquet' ORDER BY event_no").fetchall():
-        if d not in big:
-            continue
-        if op == "withdraw":
-            active.remove(d)
-            continue
-        batch = table.where(table["dataset"] == d)
-        out |= got(history.probe(batch, active))
-        history.append(batch, d)
-        active.append(d)
-    release = {i: d for i, d, _ in rows}
-    assert out == {(i, s) for i, s in _p1_truth(rows, truth) if release[i] in big and s in big}
+@pytest.mark.parametrize("split", [128, 2])
+def test_p1_release_by_release(spark, rows, truth, monkeypatch, split):
+    """Probing and appending one release after the other gives the same rows as all at once; so do hot tokens."""
+    monkeypatch.setattr(links, "SPLIT_AT", split)
+    assert got(Q.queries()["p1_release_by_release"](spark, DATA)) == _p1_truth(rows, truth)
+
+
+def test_history_keeps_names(spark, tmp_path):
+    body = lambda k: f"text number {k} " + " ".join(f"word{k * 31 + i}" for i in range(40))
+    batch = spark.createDataFrame([(1, body(1)), (2, body(2))], "id long, text string")
+    h = History.create(spark, f"file://{tmp_path}/i", batch)
+    for name in ("007", "a/b", "x=1 y"):
+        h.append(batch, name)
+        h.append(batch, name)  # once more, as after a failure
+    more = spark.createDataFrame([(5, body(1).replace("word33 ", "")), (6, body(9))], "id long, text string")
+    assert got(h.probe(more, ["007", "a/b", "x=1 y"])) == {(5, "007"), (5, "a/b"), (5, "x=1 y")} and got(h.probe(more, ["a/b"])) == {(5, "a/b")}
+    assert got(h.probe(more, [])) == set() == got(h.probe(more.limit(0), ["007"]))
+    with pytest.raises(ValueError):
+        History(spark, f"file://{tmp_path}/i", threshold=0.5)
 
 
 @pytest.mark.parametrize("split", [2, 5, 100])
