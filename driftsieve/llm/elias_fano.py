@@ -36,6 +36,21 @@ class EliasFano:
         self.zeros = np.arange(size, dtype=np.int64) * 64 - (np.cumsum(ones) - ones)
         self.low = self._pack(keys & _U((1 << self.low_bits) - 1))
 
+    def to_bytes(self) -> bytes:
+        return np.array([self.n, self.bits, len(self.high)], np.int64).tobytes() + self.high.tobytes() + self.low.tobytes()
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> "EliasFano":
+        n, bits, words = np.frombuffer(data, np.int64, 3).tolist()
+        out = cls(np.empty(0, np.uint64), bits)
+        out.n, out.low_bits = n, max(0, bits - max(1, n.bit_length()))
+        out.buckets = 1 << (bits - out.low_bits)
+        body = np.frombuffer(data, np.uint64, offset=24)
+        out.high, out.low = body[:words], body[words:]
+        ones = np.bitwise_count(out.high).astype(np.int64)
+        out.zeros = np.arange(words, dtype=np.int64) * 64 - (np.cumsum(ones) - ones)
+        return out
+
     def _pack(self, low: np.ndarray) -> np.ndarray:
         width = self.low_bits
         words = np.zeros((self.n * width + 63) // 64 + 2, np.uint64)

@@ -11,7 +11,7 @@ from driftsieve.llm.history import duplicates_of_history, release_by_release
 from driftsieve.llm.leaks import leaked_items
 from driftsieve.llm.mixing import Mixture
 from driftsieve.llm.near import near_groups
-from driftsieve.llm.seen import error_rates, seen_before
+from driftsieve.llm.seen import SeenIndex, error_rates, seen_before
 from driftsieve.llm.subjects import Subjects
 from driftsieve.llm.visual import same_looking_pairs
 from driftsieve.storage import shared_folder
@@ -39,6 +39,15 @@ def _p2_error_rates(spark, d):
     return error_rates(_t(spark, d, "row_band_keys"), _t(spark, d, "index_keys"), _expected(spark, d), bits=24)
 
 
+def _p2_in_two_batches(spark, d):
+    """The earlier half of the rows makes an index on disk, the later half is held against it."""
+    rows = _t(spark, d, "row_band_keys")
+    middle = rows.agg(F.percentile_approx("sig_id", 0.5, 10_000)).first()[0] or 0
+    index = SeenIndex(spark, f"{shared_folder(spark)}/seen-index-{uuid.uuid4().hex[:12]}", _expected(spark, d))
+    first = index.add(rows.where(F.col("sig_id") <= middle))
+    return first.union(index.add(rows.where(F.col("sig_id") > middle)))
+
+
 def _p6_found(spark, d):
     return leaked_items(_t(spark, d, "documents"), _t(spark, d, "benchmark")).select("doc_id", "item_id")
 
@@ -56,6 +65,7 @@ def queries() -> dict:
         "p1_found": lambda s, d: duplicates_of_history(_t(s, d, "input_parquet"), _t(s, d, "ledger")),
         "p1_release_by_release": _p1_release_by_release,
         "p2_found": _p2_found,
+        "p2_in_two_batches": _p2_in_two_batches,
         "p2_error_rates": _p2_error_rates,
         "p3_found": lambda s, d: near_groups(_t(s, d, "input_parquet")),
         "p4_found": lambda s, d: format_copies(_t(s, d, "input_parquet")),
@@ -76,6 +86,9 @@ def oracle_sql() -> dict[str, str]:
                  m AS (SELECT sig_id, band, key, min(sig_id) OVER (PARTITION BY band, key) AS earliest FROM k)
             SELECT sig_id, band FROM m
             WHERE sig_id > earliest OR EXISTS (SELECT 1 FROM index_keys i WHERE i.band = m.band AND i.band_key = m.key)""",
+        "p2_in_two_batches": """
+            WITH k AS (SELECT sig_id, unnest(band_keys) AS key, CAST(generate_subscripts(band_keys, 1) - 1 AS INTEGER) AS band FROM row_band_keys)
+            SELECT sig_id, band FROM (SELECT sig_id, band, min(sig_id) OVER (PARTITION BY band, key) AS earliest FROM k) WHERE sig_id > earliest""",
         # Sizes in characters: which sources fall short is the same for any usual measure.
         "p7_found": r"""
             WITH w AS (SELECT lower(regexp_replace(source, '^\s+|\s+$', '', 'g')) AS source, target_share, max_repeats FROM source_weights),

@@ -12,11 +12,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftsieve.llm.arrow import partitions
 from driftsieve.llm.elias_fano import EliasFano, mix64
+from driftsieve.storage import Workspace, delete
 
 #: Keys that a hash partition is meant for, and probes that are merged at a time.
 PARTITION_KEYS, BATCH_KEYS = 1 << 20, 1 << 17
@@ -196,3 +197,100 @@ def error_rates(df: DataFrame, index: DataFrame | None, expected: int, bits: int
     each = moved.mapInArrow(_probe(parts, bits), "band int, probes long, new_keys long, wrong long, keys long, encoded_bits long, exact_bits long")
     total = each.groupBy("band").agg(*(F.sum(c).alias(c) for c in ("probes", "new_keys", "wrong", "keys", "encoded_bits", "exact_bits")))
     return total.select("band", "probes", "new_keys", "wrong", (F.col("wrong") / F.greatest("new_keys", F.lit(1))).alias("rate"), "keys", (F.col("encoded_bits") / F.greatest("keys", F.lit(1))).alias("bits_a_key"), (F.col("exact_bits") / F.greatest("keys", F.lit(1))).alias("exact_bits_a_key"))
+
+
+# ---------------------------------------------------------------- kept index
+
+_STATE = -1
+
+
+def _advance(parts: int):
+    """Of a partition's encoding, if there is one, and a batch's keys, sorted by arrival: (seq, band) of keys seen before,
+    and last the encoding with the new keys."""
+    below = 64 - int(math.log2(parts))
+
+    def run(batches):
+        held, known, band, place = [], None, None, None
+
+        def flush():
+            nonlocal known
+            key, seq, kind = (np.concatenate([h[k] for h in held]) for k in range(3))
+            held.clear()
+            at = np.flatnonzero(kind != _REPEAT)
+            rest = key[at].view(np.uint64) & np.uint64((1 << below) - 1)
+            order = np.lexsort((seq[at], rest))
+            at, rest = at[order], rest[order]
+            old = known or EliasFano(np.empty(0, np.uint64), below)
+            there, again = old.contains(rest), np.r_[False, rest[1:] == rest[:-1]][: len(rest)]
+            known = old.merged(rest[~there & ~again])
+            return seq[at][(kind[at] == _PROBE) & (there | again)]
+
+        def out(seq, band, place=None, data=None):
+            n = len(seq)
+            return pa.RecordBatch.from_arrays([pa.array(seq, pa.int64()), pa.array(band, pa.int32()), pa.array([place] * n, pa.int32()), pa.array([data] * n, pa.binary())], names=["sig_id", "band", "place", "data"])
+
+        size = 0
+        for b in batches:
+            pid, bands, key, seq, kind = (b.column(k).to_numpy() for k in range(5))
+            for i in np.flatnonzero(kind == _STATE):
+                known, band, place = EliasFano.from_bytes(b.column(5)[int(i)].as_py()), int(bands[i]), int(pid[i])
+            again = kind == _REPEAT
+            if again.any():
+                yield out(seq[again], bands[again])
+            own = (kind == _OLD) | (kind == _PROBE)
+            if own.any():
+                band, place = int(bands[own][0]), int(pid[own][0])
+                held.append((key[own], seq[own], kind[own]))
+                size += int(own.sum())
+            if size >= BATCH_KEYS:
+                found, size = flush(), 0
+                yield out(found, np.full(len(found), band, np.int32))
+        if held:
+            found = flush()
+            yield out(found, np.full(len(found), band, np.int32))
+        if known is not None:
+            yield out([None], [band], place, known.to_bytes())
+
+    return run
+
+
+class SeenIndex:
+    """An index of keys on disk: the Elias-Fano encoding of each hash partition, and no keys beside it.
+
+    A batch's keys meet the encoding of their partition, which is read, probed, merged with the new keys and written as the next
+    version; earlier keys are never read again. A version counts once it is whole, so an add that was cut off is done
+    again from the one before; the one before that is deleted. `expected` keys fix the number of partitions for good.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, expected: int = 0, bands: int = 8):
+        self.spark, self.path = spark, path.rstrip("/")
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        self._file = lambda name: hadoop.Path(f"{self.path}/{name}")
+        self._fs = self._file("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not self._fs.exists(self._file("layout/_SUCCESS")):
+            spark.createDataFrame([(_spread(_parts(expected, bands), bands, 1), bands)], "parts int, bands int").write.mode("overwrite").parquet(f"{self.path}/layout")
+        self.parts, self.bands = spark.read.parquet(f"{self.path}/layout").first()
+
+    def version(self) -> int:
+        """The last whole version, 0 if there is none."""
+        if not self._fs.exists(self._file("")):
+            return 0
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._file(""))]
+        return max((int(n[2:]) for n in names if n.startswith("v-") and self._fs.exists(self._file(f"{n}/_SUCCESS"))), default=0)
+
+    def add(self, df: DataFrame, id_col: str = "sig_id", keys_col: str = "band_keys") -> DataFrame:
+        """(sig_id, band): the keys of a batch that an earlier batch had in that band, or an earlier row of its own at that
+        position; then the batch is in the index. Nulls, ids and repeats are as in seen_before."""
+        now, n = self.version(), self.parts * self.bands
+        work = Workspace(self.spark, "seen")
+        rows = rows_of(df, id_col, keys_col).withColumn("keys", _no_more(F.col("keys"), self.bands))
+        moved = rows.where("seq is not null and keys is not null").mapInArrow(_flatten(self.parts), _MOVED).withColumn("data", F.lit(None).cast("binary"))
+        if now:
+            state = self.spark.read.parquet(f"{self.path}/v-{now:08d}")
+            moved = moved.unionByName(state.select(F.col("place").alias("pid"), "band", F.lit(0).cast("long").alias("key"), F.lit(-(1 << 63)).cast("long").alias("seq"), F.lit(_STATE).alias("kind"), "data"))
+        moved = moved.repartitionById(n, F.col("pid") % n).sortWithinPartitions("kind", "seq").select("pid", "band", "key", "seq", "kind", "data")
+        got = work.keep(moved.mapInArrow(_advance(self.parts), "sig_id long, band int, place int, data binary"), "advanced")
+        got.where("data is not null").select("place", "band", "data").write.mode("overwrite").parquet(f"{self.path}/v-{now + 1:08d}")
+        if now > 1:
+            delete(self.spark, f"{self.path}/v-{now - 1:08d}")
+        return got.where("data is null").select("sig_id", "band")

@@ -92,6 +92,8 @@ def test_elias_fano(keys, more):
     k, q = np.array(sorted(keys), np.uint64), np.array(sorted(keys | more | {0, (1 << 64) - 1}), np.uint64)
     e = EliasFano(k)
     assert (e.decode() == k).all()
+    again = EliasFano.from_bytes(e.to_bytes())
+    assert (again.decode() == k).all() and (again.contains(q) == np.isin(q, k)).all()
     assert (e.contains(q) == np.isin(q, k)).all() and (e.rank(q) == np.searchsorted(k, q)).all()
     new = np.setdiff1d(q, k)
     assert (e.merged(new).decode() == np.union1d(k, q)).all()

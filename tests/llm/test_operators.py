@@ -13,7 +13,7 @@ from driftsieve.llm.history import History, duplicates_of_history
 from driftsieve.llm.leaks import common_subsequence, leaked_items
 from driftsieve.llm.mixing import Mixture, _tokenizer, permuted, token_counts
 from driftsieve.llm.near import near_groups
-from driftsieve.llm.seen import error_rates, seen_before
+from driftsieve.llm.seen import SeenIndex, error_rates, seen_before
 from driftsieve.llm.subjects import Model, Subjects, leaf_sentences
 from driftsieve.llm.textforms import canonical, plain_form, record_key
 from driftsieve.llm.words import sentence_words, sentences
@@ -179,7 +179,27 @@ def test_p2(spark):
     c = duckdb.connect()
     for t in ("row_band_keys", "index_keys"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
-    assert got(Q.queries()["p2_found"](spark, DATA)) == set(c.sql(Q.oracle_sql()["p2_found"]).fetchall())
+    for q in ("p2_found", "p2_in_two_batches"):
+        assert got(Q.queries()[q](spark, DATA)) == set(c.sql(Q.oracle_sql()[q]).fetchall())
+
+
+def test_p2_index_on_disk(spark, tmp_path):
+    """Batches in turn give what all rows at once give; a version that isn't whole doesn't count; earlier keys are in no file."""
+    rng = random.Random(8)
+    rows = [(i, [rng.randrange(60) * 977, None if i % 7 == 0 else rng.getrandbits(62)] if i % 11 else None) for i in range(300)]
+    table = lambda r: spark.createDataFrame(r, "sig_id long, band_keys array<long>")
+    want, out = got(seen_before(table(rows), None, 600, 2)), set()
+    for k in range(3):
+        index = SeenIndex(spark, f"file://{tmp_path}/i", 600, 2)  # opened anew each time
+        assert index.version() == k
+        out |= got(index.add(table(rows[100 * k : 100 * k + 100])))
+    assert out == want
+    (tmp_path / "i/v-00000003/_SUCCESS").unlink()
+    assert index.version() == 2 and not (tmp_path / "i/v-00000001").exists()
+    assert got(index.add(table(rows[200:]))) <= want and index.version() == 3
+    assert {f.name for f in (tmp_path / "i").iterdir() if f.is_dir()} == {"layout", "v-00000002", "v-00000003"}
+    assert set(spark.read.parquet(f"file://{tmp_path}/i/v-00000003").columns) == {"place", "band", "data"}
+    assert got(index.add(table([]))) == set()
 
 
 def test_p2_edges(spark, monkeypatch):
