@@ -32,6 +32,25 @@ def runs(sorted_values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, sorted_values[1:] != sorted_values[:-1]]) if len(sorted_values) else np.empty(0, np.int64)
 
 
+def row_sums(table: np.ndarray, index: np.ndarray, starts: np.ndarray, scale: np.ndarray | None = None) -> np.ndarray:
+    """The sums of table[index] (times scale) over runs that begin at `starts`: the k-th row of all runs at a time, which for
+    wide rows is several times as fast as numpy's own sums over runs; what is left of a few long runs at once."""
+    counts = np.diff(np.r_[starts, len(index)])
+
+    def rows(at):
+        return table[index[at]] if scale is None else table[index[at]] * scale[at, None]
+
+    out, k = rows(starts), 1
+    open_ = np.flatnonzero(counts > 1)
+    while len(open_) > 8:
+        out[open_] += rows(starts[open_] + k)
+        k += 1
+        open_ = open_[counts[open_] > k]
+    for i in open_.tolist():
+        out[i] += rows(np.arange(starts[i] + k, starts[i] + counts[i])).sum(0)
+    return out
+
+
 def frequencies(words: DataFrame, features: int, passage: int | None = None) -> np.ndarray:
     """Texts that hold each feature; the last number is of all texts. words: (words array<int>)."""
 
@@ -58,7 +77,8 @@ def placed(values: np.ndarray, text: np.ndarray, feature: np.ndarray, tf: np.nda
     norm = np.sqrt(np.bincount(text, value * value, minlength=texts))
     value /= np.maximum(norm, 1e-9)[text].astype(np.float32)
     at = runs(text)
-    values[text[at]] = np.add.reduceat(basis[feature] * value[:, None], at, axis=0)
+    if len(at):
+        values[text[at]] = row_sums(basis, feature, at, value)
     return value
 
 
@@ -84,7 +104,7 @@ def fit(words: DataFrame, seen: np.ndarray, rank: int, spare: int = 8, passage:
                 order = np.argsort(feature, kind="stable")
                 f = feature[order]
                 at = runs(f)
-                total[f[at]] += np.add.reduceat(down[text[order]] * value[order, None], at, axis=0)
+                total[f[at]] += row_sums(down, text[order], at, value[order])
             return total
 
         return summed(words, run, (features, m), np.float32).astype(np.float64)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from driftsieve.llm import latent
 from driftsieve.llm.arrow import named
-from driftsieve.llm.latent import cells, runs
+from driftsieve.llm.latent import cells, row_sums, runs
 from driftsieve.llm.words import flat, summed, words_of
 from driftsieve.storage import Workspace
 
@@ -288,7 +288,7 @@ class _Sentences:
     def scores(self, odds: np.ndarray) -> np.ndarray:
         out = np.zeros((self.count, odds.shape[1]), np.float32)
         if len(self.term):
-            out[self.sentence[self.starts]] = np.add.reduceat(odds[self.term], self.starts, axis=0)
+            out[self.sentence[self.starts]] = row_sums(odds, self.term, self.starts)
         return out
 
     def known(self, use: np.ndarray | None = None) -> np.ndarray:
