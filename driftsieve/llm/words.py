@@ -44,8 +44,9 @@ def word_hashes(canonical: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (h >> np.uint64(32)).astype(np.uint32).view(np.int32), counts
 
 
-#: A sentence ends with one of these marks and what closes a quotation, before white space, or with a line.
-SENTENCE_END = re.compile(r"(?<=[.!?…。])[\"»”’')\]_*]*\s+|[\r\n]+")
+#: A sentence ends with one of these marks and what closes a quotation, before white space, or with its line.
+_MARKS = ".!?…。"
+SENTENCE_END = re.compile(r"[.!?…。][\"»”’')\]_*]*\s+")
 
 
 def _lists(counts: np.ndarray, values: np.ndarray, kind) -> pa.ListArray:
@@ -67,7 +68,12 @@ def sentences(plain: str) -> list[str]:
         if line.startswith(_FENCE):
             fenced = not fenced
         elif line and not fenced and not _NO_PROSE.match(line):
-            out += [s for s in SENTENCE_END.split(line) if s]
+            at = 0
+            for end in SENTENCE_END.finditer(line):
+                out.append(line[at : end.start() + 1])
+                at = end.end()
+            if at < len(line):
+                out.append(line[at:])
     return out
 
 
@@ -75,12 +81,13 @@ def sentence_words(text: list[str], counts: list[int]) -> list[int]:
     """Words of each sentence of a text, given its pieces' words. A piece without an end mark that is over twice as long
     as the middle one of the text's marked sentences has lost its marks: it counts as so many sentences as it is
     longer, in even parts."""
-    marked = sorted(n for s, n in zip(text, counts) if n and _MARKED.search(s))
+    has = [s[-1] in _MARKS or _MARKED.search(s) is not None for s in text]
+    marked = sorted(n for m, n in zip(has, counts) if m and n)
     if not marked:
         return [n for n in counts if n]
     usual, out = marked[len(marked) // 2], []
-    for s, n in zip(text, counts):
-        if n > 2 * usual and not _MARKED.search(s):
+    for m, n in zip(has, counts):
+        if n > 2 * usual and not m:
             k = round(n / usual)
             out += [n * (i + 1) // k - n * i // k for i in range(k)]
         elif n:
