@@ -2,6 +2,7 @@
 
 import random
 from collections import defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -18,6 +19,7 @@ from driftsieve.llm.subjects import Model, Subjects, leaf_sentences
 from driftsieve.llm.textforms import canonical, plain_form, record_key
 from driftsieve.llm.words import sentence_words, sentences
 from driftsieve.llm.visual import plain_texts, same_looking_pairs
+from driftsieve.storage import Workspace
 
 DATA = "/root/testdata/sf0.001"
 
@@ -457,6 +459,30 @@ def test_a_third_are_near_copies(spark):
     assert got(duplicates_of_history(d, ledger)) == {(i, "a") for i in range(3, 900, 6)}
 
 
+def _mixed(rng, share, n=60):
+    """Two texts of made words, of which the second keeps about this share."""
+    words = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(n)]
+    kept = round(share * n)
+    return " ".join(words), " ".join(words[:kept] + ["".join(rng.choices("qrstuvwxyz", k=6)) for _ in range(n - kept)])
+
+
+def test_bitmaps_rule_out_candidates(spark):
+    """Pairs under the threshold go by their bitmaps, before texts are joined; no pair that reaches it goes."""
+    rng = random.Random(5)
+    pairs = [_mixed(rng, rng.random(), rng.randrange(5, 400)) for _ in range(400)]
+    pairs += [(a, a[: round(len(a) * 0.62)]) for a, _ in pairs[:200]] + [(a, "x" + b) for b, a in pairs[:100]]
+    share = np.array([len(windows(a) & windows(b)) / len(windows(a) | windows(b)) for a, b in pairs])
+    (n_a, bits_a), (n_b, bits_b) = (links.bitmaps([p[k] for p in pairs]) for k in (0, 1))
+    most = links.most_shared(np.array(n_a), np.array(n_b), bits_a, bits_b)
+    assert (most >= share).all() and (most[share < 0.35] < 0.6).all()
+    rows = spark.createDataFrame([(2 * i + k, p[k]) for i, p in enumerate(pairs) for k in (0, 1)], "id long, text string")
+    work = Workspace(spark, "bitmaps")
+    out = links.verified(spark.createDataFrame([(2 * i, 2 * i + 1) for i in range(len(pairs))], "id_a long, id_b long"), rows, work, bounded=True)
+    assert got(out) == {(2 * i, 2 * i + 1) for i in np.flatnonzero(share >= 0.6).tolist()}
+    held = {t.name.split("_", 1)[1]: spark.read.parquet(f"file://{t}").count() for t in Path(work.path.removeprefix("file:")).glob("*_*")}
+    assert (share >= 0.6).sum() <= held["near_enough"] <= (share >= 0.35).sum() < held["candidates"]
+
+
 def test_a_run_over_many_partitions(spark):
     """A third of all rows are copies of one text; the run crosses range partitions."""
     d = spark.createDataFrame([(i, "Copies of one text that is long enough to count." if i % 3 else f"text number {i} that is long enough to count") for i in range(600)], "id long, text string").repartition(6)
