@@ -483,6 +483,26 @@ def test_bitmaps_rule_out_candidates(spark):
     assert (share >= 0.6).sum() <= held["near_enough"] <= (share >= 0.35).sum() < held["candidates"]
 
 
+def test_p1_misses_no_link(spark, odd_ledger):
+    """Pairs just over the threshold, one text holding the other, of sketches that are whole texts and that are not."""
+    rng, rows, made = random.Random(11), [], lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    for k in range(20):  # what is shared is frequent, and so comes last in the order of tokens
+        base = made(rng.choice([24, 36, 60, 200]) + 19)
+        rows.append((1000 * k, base, "a"))
+        rows += [(1000 * k + i, base + made((len(base) - 19) * 100 // 61 - len(base) + 19), "b") for i in range(1, 101)]
+    d = spark.createDataFrame(rows, "id long, text string, dataset string")
+    assert got(duplicates_of_history(d, odd_ledger)) == {(i, "a") for i, _, tag in rows if tag == "b"}
+    with pytest.raises(ValueError):
+        duplicates_of_history(d, odd_ledger, threshold=0.5)
+
+
+def test_p1_record_and_running_text(spark, odd_ledger):
+    """A field record and the same words without its marks have other copy keys, but equal windows."""
+    record = "title: quiet river; keeper: old miller; shelf: second from above"
+    d = spark.createDataFrame([(1, record, "a"), (2, record.replace(":", "").replace(";", ""), "b")], "id long, text string, dataset string")
+    assert got(duplicates_of_history(d, odd_ledger)) == {(2, "a")}
+
+
 def test_a_run_over_many_partitions(spark):
     """A third of all rows are copies of one text; the run crosses range partitions."""
     d = spark.createDataFrame([(i, "Copies of one text that is long enough to count." if i % 3 else f"text number {i} that is long enough to count") for i in range(600)], "id long, text string").repartition(6)
