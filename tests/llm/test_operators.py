@@ -11,7 +11,7 @@ import pytest
 from driftsieve.llm import links, queries as Q
 from driftsieve.llm.formats import copy_counts, format_copies
 from driftsieve.llm.history import History, duplicates_of_history
-from driftsieve.llm.leaks import common_subsequence, leaked_items
+from driftsieve.llm.leaks import common_subsequence, common_subsequences, leaked_items, paraphrased_items
 from driftsieve.llm.mixing import Mixture, _tokenizer, permuted, token_counts
 from driftsieve.llm.near import near_groups
 from driftsieve.llm.seen import SeenIndex, error_rates, seen_before
@@ -250,6 +250,62 @@ def test_p6_runs_and_edges(spark):
     assert common_subsequence([1, 2, 3, 4, 5], __import__("numpy").array([9, 2, 4, 3, 5])) == 3
 
 
+def test_p6_paraphrases(spark):
+    """Passages of which every seventh word is another and a word is put in: no run of 12 is left."""
+    rng = random.Random(8)
+    vocabulary = [f"v{k}" for k in range(3000)]
+    items = [(i, rng.choices(vocabulary, k=rng.randint(30, 90)), f"The answer-{i}, as given") for i in range(60)]
+    docs, want = [], set()
+    for k in range(200):
+        i, words, answer = rng.choice(items)
+        at = rng.randrange(len(words) - 29)
+        said = [rng.choice(vocabulary) if (j + k) % 7 == 6 else w for j, w in enumerate(words[at : at + 30])]
+        said.insert(rng.randrange(30), "indeed")
+        tail = {0: [], 1: [answer.upper()], 2: ["the answer", str(i), "is given"]}[k % 3]  # none, the answer, and its words out of line
+        docs.append((k, " ".join(rng.choices(vocabulary, k=rng.randrange(60)) + said + rng.choices(vocabulary, k=20) + tail)))
+        want.add((k, i))
+    docs += [(1000, ""), (1001, None), (None, docs[0][1]), (1002, " ".join(items[0][1][:11])), docs[0]]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    i = spark.createDataFrame([(n, " ".join(w), a) for n, w, a in items] + [(900, "too short", None), (901, None, None)], "item_id long, text string, answer string")
+    assert not got(leaked_items(d, i).select("doc_id", "item_id"))
+    found = {(r["doc_id"], r["item_id"]): r["common"] for r in paraphrased_items(d, i).collect()}
+    assert set(found) == want and min(found.values()) >= 0.7
+    assert got(paraphrased_items(d, i, answer_col="answer").select("doc_id", "item_id")) == {p for p in want if p[0] % 3 == 1}
+    blank = spark.createDataFrame([(n, " ".join(w), " " if n % 2 else None) for n, w, _ in items], "item_id long, text string, answer string")
+    assert got(paraphrased_items(d, blank, answer_col="answer").select("doc_id", "item_id")) == want
+    assert got(paraphrased_items(d.limit(0), i)) == set() == got(paraphrased_items(d, i.limit(0)))
+
+
+def test_p6_paraphrases_against_every_pair_of_passages(spark):
+    """Neither the cosine nor the lists lose a passage that has 0.8 of its words in common."""
+    d, i = (spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "benchmark"))
+    d = d.where("doc_id % 4 = 0")
+    can = lambda t: canonical(plain_form(t)).split()
+    number: dict = defaultdict(lambda: len(number))
+    words = [(r[0], np.array([number[w] for w in can(r[1])])) for r in d.select("doc_id", "text").where("text is not null").distinct().collect()]
+    passages = [(r[0], [number[x] for x in w[k : k + 24]]) for r in i.select("item_id", "text").distinct().collect() for w in [can(r[1])] for k in {*range(0, len(w) - 23, 6), max(0, len(w) - 24)}]
+    passages = [(n, p) for n, p in passages if len(p) == 24]
+    x, of = np.array([p for _, p in passages]), np.array([n for n, _ in passages])
+    want = set()
+    for doc, w in words:
+        if len(w) < 12:
+            continue
+        for at in {*range(0, len(w) - 23, 6), max(0, len(w) - 24)}:
+            y = w[max(0, at - 8) : at + 32]
+            some = np.flatnonzero(np.isin(x, y).sum(1) >= 0.8 * 24)  # no more words in order than in any
+            if len(some):
+                full = common_subsequences(x[some], np.repeat(y[None, :], len(some), 0))
+                want |= {(doc, int(n)) for n in of[some[full >= 0.8 * 24]]}
+    found = {(r["doc_id"], r["item_id"]) for r in paraphrased_items(d, i, least_common=0.8).collect()}
+    short = {r[0] for r in i.select("item_id", "text").collect() if len(can(r[1])) < 24}
+    assert want and {p for p in found if p[1] not in short} == want
+
+
+def test_p6_paraphrases_query(spark):
+    exact, found = (got(Q.queries()[q](spark, DATA.replace("0.001", "0.01"))) for q in ("p6_found", "p6_paraphrases"))
+    assert len(found - exact) > 20
+
+
 def test_token_counts():
     texts = [r[0] for r in duckdb.sql(f"SELECT text FROM '{DATA}/documents.parquet' WHERE text IS NOT NULL").fetchall()] + ["", "  a  b\n\n c ", "it's <|endoftext|>"]
     encoding = _tokenizer("/opt/tokenizers/byte_bpe_50k.tiktoken")[0]
