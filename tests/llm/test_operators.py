@@ -214,6 +214,65 @@ def test_p2_edges(spark, monkeypatch):
         seen_before(rows, None, 10, 1).collect()
 
 
+def test_p1_sizes_rule_out_only_what_lengths_do(spark):
+    rng = np.random.default_rng(4)
+    a = rng.integers(1, 5000, 20_000)
+    b = np.ceil(a * rng.uniform(0.6, 1 / 0.6, len(a))).astype(np.int64)
+    b = np.clip(b, np.ceil(0.6 * a), a / 0.6).astype(np.int64)
+    keys = rng.integers(0, 1 << 40, 20_000)
+    x, y = links.sized(keys, a), links.sized(keys, b)
+    near = np.minimum(a, b) >= 0.6 * np.maximum(a, b)
+    assert near.sum() > 15_000 and (np.abs((x >> 48) - (y >> 48))[near] <= int(np.log2(1 / 0.6) * links.SIZE_STEPS) + 1).all() and (x & links.KEY == keys).all()
+    members = [(int(k), m, int(n)) for m, n in enumerate(rng.integers(100, 400, 300)) for k in rng.integers(0, 90, 8)]
+    sizes = {m: n for _, m, n in members}
+    by: dict = defaultdict(set)
+    for k, m, _ in members:
+        by[k].add(m)
+    shared: dict = defaultdict(int)
+    for ms in by.values():
+        for u in ms:
+            for v in ms:
+                shared[u, v] += u < v
+    seen = []
+    table = spark.createDataFrame([(int(links.sized(np.array([k]), np.array([n]))[0]), m) for k, m, n in members], "key long, member long")
+    keyed = table.groupBy("member").agg({"key": "collect_list"}).toDF("member", "keys")
+
+    def verify(pairs):
+        seen.extend(tuple(r) for r in pairs.collect())
+        return pairs.selectExpr("a", "b", "a AS id_a", "b AS id_b")
+
+    links.linked_in_blocks(table, keyed, Workspace(spark, "t"), verify, 2, threshold=0.6)
+    enough = {p for p, n in shared.items() if n >= 2}
+    close = {(u, v) for u, v in enough if min(sizes[u], sizes[v]) >= 0.6 * max(sizes[u], sizes[v])}
+    assert len(seen) == len(set(seen)) and close <= set(seen) <= enough and len(seen) < len(enough)
+
+
+def test_p1_filter_of_ids_finds_all(spark):
+    ids = spark.range(0, 30_000, 3)
+    for most in (links.PLACES, 1 << 16):
+        found = links.may_hold(links.filter_of(ids, most), np.arange(30_000))
+        assert found[::3].all() and 0 < (~found).sum() and (most < links.PLACES or found.sum() < 13_000)
+
+
+def test_p1_phrases_make_few_candidates(spark, monkeypatch):
+    """Texts that share a phrase with six others are seldom candidates for that; copies with a change are, and are found."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=7))
+    phrases = [" ".join(word() for _ in range(6)) for _ in range(60)]
+    texts = [" ".join([*(word() for _ in range(22)), phrases[k % 60], *(word() for _ in range(22))]) for k in range(420)]
+    rows = [(k, t, "old" if k < 210 else "new") for k, t in enumerate(texts)] + [(1000 + k, t[:-30] + word(), "new") for k, t in enumerate(texts[:50])]
+    ledger = spark.createDataFrame([(1, "ingest", "old"), (2, "ingest", "new")], "event_no int, op string, dataset string")
+    counts = []
+    real = links.verified
+    monkeypatch.setattr(links, "verified", lambda pairs, *a, **k: (counts.append(pairs.count()), real(pairs, *a, **k))[1])
+    found = duplicates_of_history(spark.createDataFrame(rows, "id long, text string, dataset string"), ledger)
+    assert got(found) == {(1000 + k, "old") for k in range(50)}
+    now, counts[:] = sum(counts), []
+    monkeypatch.setattr("driftsieve.llm.history.MEET", 3)
+    assert got(duplicates_of_history(spark.createDataFrame(rows, "id long, text string, dataset string"), ledger)) == got(found)
+    assert 50 <= now < sum(counts) / 2, (now, counts)
+
+
 def test_p2_error_rates(spark):
     rng = random.Random(5)
     rows = spark.createDataFrame([(i, [rng.getrandbits(63)]) for i in range(20_000)], "sig_id long, band_keys array<long>")
