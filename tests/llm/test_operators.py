@@ -222,7 +222,7 @@ def test_p1_sizes_rule_out_only_what_lengths_do(spark):
     keys = rng.integers(0, 1 << 40, 20_000)
     x, y = links.sized(keys, a), links.sized(keys, b)
     near = np.minimum(a, b) >= 0.6 * np.maximum(a, b)
-    assert near.sum() > 15_000 and (np.abs((x >> 48) - (y >> 48))[near] <= int(np.log2(1 / 0.6) * links.SIZE_STEPS) + 1).all() and (x & links.KEY == keys).all()
+    assert near.sum() > 15_000 and (np.abs((x >> links.KEY_BITS) - (y >> links.KEY_BITS))[near] <= int(np.log2(1 / 0.6) * links.SIZE_STEPS) + 1).all() and (x & links.KEY == keys).all()
     members = [(int(k), m, int(n)) for m, n in enumerate(rng.integers(100, 400, 300)) for k in rng.integers(0, 90, 8)]
     sizes = {m: n for _, m, n in members}
     by: dict = defaultdict(set)
@@ -241,7 +241,7 @@ def test_p1_sizes_rule_out_only_what_lengths_do(spark):
         seen.extend(tuple(r) for r in pairs.collect())
         return pairs.selectExpr("a", "b", "a AS id_a", "b AS id_b")
 
-    links.linked_in_blocks(table, keyed, Workspace(spark, "t"), verify, 2, threshold=0.6)
+    links.linked_in_blocks(keyed, keyed, Workspace(spark, "t"), verify, 2, threshold=0.6)
     enough = {p for p, n in shared.items() if n >= 2}
     close = {(u, v) for u, v in enough if min(sizes[u], sizes[v]) >= 0.6 * max(sizes[u], sizes[v])}
     assert len(seen) == len(set(seen)) and close <= set(seen) <= enough and len(seen) < len(enough)
