@@ -1,7 +1,8 @@
 """Operators against brute force, and on nulls, empty tables, long texts, ties, repeated rows and clashing columns."""
 
+import itertools
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 from pathlib import Path
 
 import duckdb
@@ -10,7 +11,7 @@ import pytest
 
 from driftsieve.llm import links, queries as Q
 from driftsieve.llm.formats import copy_counts, format_copies
-from driftsieve.llm.history import History, duplicates_of_history
+from driftsieve.llm.history import History, duplicates_of_history, frequent_tokens
 from driftsieve.llm.leaks import common_subsequence, common_subsequences, leaked_items, paraphrased_items
 from driftsieve.llm.mixing import Mixture, _tokenizer, permuted, token_counts
 from driftsieve.llm.near import near_groups
@@ -247,6 +248,47 @@ def test_p1_sizes_rule_out_only_what_lengths_do(spark):
     assert len(seen) == len(set(seen)) and close <= set(seen) <= enough and len(seen) < len(enough)
 
 
+@pytest.mark.parametrize("least, split", [(5, links.SPLIT_AT), (2, 20)])
+def test_p1_pairs_move_packed(spark, least, split):
+    """Every pair that shares enough keys and every member of a hot block, for few bytes of shuffle a pair."""
+    rng = np.random.default_rng(5)
+    members = rng.integers(-(1 << 63), (1 << 63) - 1, 1500)
+    lists = [rng.choice(4000, 40, replace=False) for _ in members]
+    for k in range(0, 300, 3):
+        lists[k + 1] = np.r_[lists[k][:20], 5000 + k]
+    tables = [[(int(m), x.tolist()) for m, x in zip(members, how)] for how in (lists, [links.sized(x, np.array([300])) for x in lists])]
+    plain, keyed = (spark.createDataFrame(x, "member long, keys array<long>") for x in tables)
+    by: dict = defaultdict(set)
+    for m, keys in tables[0]:
+        for k in keys:
+            by[k].add(m)
+    shared = Counter(p for ms in by.values() if len(ms) <= split for p in itertools.combinations(sorted(ms), 2))
+    expected = {p for p, n in shared.items() if n >= least}
+    hot = {(min(ms), m) for ms in by.values() if len(ms) > split for m in ms if m > min(ms)}
+    store = spark.sparkContext._jsc.sc().statusStore()
+    written = lambda: sum(e.totalShuffleWrite() for e in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.executorList(False)))
+    seen = []
+
+    def verify(pairs):
+        seen.append((written(), [tuple(r) for r in pairs.collect()]))
+        return pairs.selectExpr("a", "b", "a AS id_a", "b AS id_b")
+
+    before = written()
+    links.linked_in_blocks(keyed, plain, Workspace(spark, "t"), verify, least, split_at=split, threshold=0.6)
+    moved, pairs = seen[0]
+    assert len(pairs) == len(set(pairs)) and expected and set(pairs) == expected | hot and bool(hot) == (split < links.SPLIT_AT)
+    if not hot:
+        assert (moved - before) / len(shared) < 10
+
+
+def test_p1_frequent_tokens_leave_no_shuffle_files(spark):
+    table = spark.createDataFrame([(list(range(k % 50, k % 50 + 40)),) for k in range(2000)], "tokens array<long>")
+    files = lambda: spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllBlocks().size()
+    before = files()
+    tokens, _ = frequent_tokens(table)
+    assert len(tokens) == 89 and files() <= before
+
+
 def test_p1_filter_of_ids_finds_all(spark):
     ids = spark.range(0, 30_000, 3)
     for most in (links.PLACES, 1 << 16):
